@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstrand.llm import bpe, components, survivors
+from vecstrand.llm import bpe, components, names, neighbours, survivors
 from vecstrand.llm.oracles import ORACLE_SQL  # noqa: F401
 from vecstrand.plans.durable import Scratch
-from vecstrand.sources.tables import table
+from vecstrand.sources.tables import live, table, usable
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,15 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("groups"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(spark, table(spark, sf_dir, "tracks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usable(live(table(spark, sf_dir, "tracks"))).select(F.col("track_id").alias("id"), F.col("embedding").alias("vec"))
+    return neighbours.k_nearest(spark, rows).select(F.col("id").alias("track_id"), F.col("neighbour").alias("neighbour_id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -47,4 +56,4 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_sizes, p6_ids, p6_round_trip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_sizes, p4_found, p5_found, p6_ids, p6_round_trip)}
