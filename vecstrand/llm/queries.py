@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstrand.llm import bpe, components, names, neighbours, spam, survivors
+from vecstrand.llm import bpe, components, leaks, names, neighbours, spam, survivors
 from vecstrand.llm.oracles import ORACLE_SQL  # noqa: F401
 from vecstrand.plans.durable import Scratch
 from vecstrand.sources.tables import live, table, usable
@@ -56,6 +56,10 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -66,4 +70,4 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("language").agg(F.count("*").alias("pages"), *[F.round(F.avg(c), 4).alias(c) for c in ("top_word", "top_pair", "repeated_lines", "links", "separators", "function_words")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_sizes, p4_found, p5_found, p6_ids, p6_round_trip, p8_found, p8_figures)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_sizes, p4_found, p5_found, p6_ids, p6_round_trip, p7_found, p8_found, p8_figures)}
