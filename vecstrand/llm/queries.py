@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecstrand.llm import bpe, components, leaks, names, neighbours, spam, survivors
+from vecstrand.llm import arrivals, bpe, components, leaks, names, neighbours, spam, survivors
 from vecstrand.llm.oracles import ORACLE_SQL  # noqa: F401
 from vecstrand.plans.durable import Scratch
 from vecstrand.sources.tables import live, table, usable
@@ -36,6 +36,10 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("groups"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals.repeats(spark, table(spark, sf_dir, "tracks"), table(spark, sf_dir, "arrivals"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(spark, table(spark, sf_dir, "tracks"))
 
@@ -70,4 +74,4 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("language").agg(F.count("*").alias("pages"), *[F.round(F.avg(c), 4).alias(c) for c in ("top_word", "top_pair", "repeated_lines", "links", "separators", "function_words")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_sizes, p4_found, p5_found, p6_ids, p6_round_trip, p7_found, p8_found, p8_figures)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_sizes, p3_found, p4_found, p5_found, p6_ids, p6_round_trip, p7_found, p8_found, p8_figures)}
