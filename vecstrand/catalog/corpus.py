@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 _LIVE = "analyzed_at IS NOT NULL AND duplicate_of IS NULL AND features_version = 4"
 #: The servable vectors in SQL.
 MATRIX = f"""
-decoded AS (SELECT track_id, title, artist, dedupe_key, CASE WHEN len(feel) = 8 AND len(list_filter(feel, lambda x: x IS NULL OR isnan(x))) = 0 THEN feel END AS feel, CASE WHEN rhythm.tempo_bpm > 0 THEN rhythm.tempo_bpm END AS tempo, analyzed_at, scale, hex(embedding) AS h FROM tracks
+decoded AS (SELECT track_id, title, artist, dedupe_key, CASE WHEN len(feel) = 8 AND len(list_filter(feel, lambda x: x IS NULL OR isnan(x))) = 0 THEN feel END AS feel, CASE WHEN rhythm.tempo_bpm > 0 AND NOT isnan(rhythm.tempo_bpm) THEN rhythm.tempo_bpm END AS tempo, analyzed_at, scale, hex(embedding) AS h FROM tracks
   WHERE {_LIVE} AND octet_length(embedding) = 64 AND scale > 0 AND regexp_matches(hex(embedding), '[^0]')),
 corpus AS (SELECT track_id, title, artist, dedupe_key, feel, tempo, analyzed_at,
   list_transform(range(64), lambda i: (CASE WHEN ('0x' || h[2*i+1:2*i+2])::INT > 127 THEN ('0x' || h[2*i+1:2*i+2])::INT - 256 ELSE ('0x' || h[2*i+1:2*i+2])::INT END) * scale::DOUBLE) AS vec FROM decoded)
@@ -60,9 +60,6 @@ def live_counts(spark, d):
     )
 
 
-_REQUESTS = "SELECT row_number() OVER (ORDER BY rec_id, job_id, claimed_at NULLS FIRST, created_at NULLS FIRST, attempts, error NULLS FIRST) - 1 AS pos, rec_id AS track_id FROM (SELECT * FROM jobs WHERE rec_id IS NOT NULL)"
-
-
 @query("SELECT j.job_id, j.rec_id, t.track_id IS NOT NULL AS found, coalesce(t.title, j.rec_id) AS title, coalesce(t.artist, 'Unknown artist') AS artist FROM jobs j LEFT JOIN tracks t ON t.track_id = j.rec_id WHERE j.rec_id IS NOT NULL")
 def multi_get(spark, d):
     """One slot a request, repeats and misses included, with placeholders for what is not there."""

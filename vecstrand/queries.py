@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vecstrand.catalog import corpus, graph, rank
+from vecstrand.catalog import corpus, graph, rank, signal, streams
 
-_PARTS = (corpus, rank, graph)
+_PARTS = (corpus, rank, graph, signal, streams)
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}
