@@ -20,7 +20,7 @@ scored AS (SELECT c.*, s.track_id AS seed_id, s.vec AS seed_vec, s.feel AS seed_
   list_cosine_similarity(c.vec, s.vec) AS sim, list_distance(c.vec, s.vec) AS gap FROM corpus c CROSS JOIN seed s)"""
 SPREAD = "spread AS (SELECT " + ", ".join(f"greatest(stddev_pop(feel[{i}]), 1e-6) AS s{i}" for i in range(1, 9)) + " FROM corpus WHERE feel IS NOT NULL)"
 BLEND = f"""{SEED}, {SPREAD}, parts AS (SELECT c.*, coalesce(({" + ".join(f"abs(feel[{i}] - seed_feel[{i}]) / s{i}" for i in range(1, 9))}) / 8, 0.0) AS fd,
-  coalesce(least(abs(log2(seed_tempo / tempo)), abs(log2(seed_tempo / tempo) - 1), abs(log2(seed_tempo / tempo) + 1), 0.5), 0.0) AS td FROM scored c CROSS JOIN spread),
+  CASE WHEN tempo IS NULL OR seed_tempo IS NULL THEN 0.0 ELSE least(abs(log2(seed_tempo / tempo)), abs(log2(seed_tempo / tempo) - 1), abs(log2(seed_tempo / tempo) + 1), 0.5) END AS td FROM scored c CROSS JOIN spread),
 blended AS (SELECT *, sim - 0.3 * fd - 0.2 * td AS score FROM parts)"""
 
 

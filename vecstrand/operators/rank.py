@@ -76,7 +76,8 @@ def feel_distance(rec: Column, seed: Column, spread: Column) -> Column:
 def tempo_distance(rec: Column, seed: Column) -> Column:
     """Octaves apart, double and half tempo folded, at most one half; a missing tempo is never a penalty."""
     d = F.log2(F.try_divide(seed, rec))
-    return F.coalesce(F.least(F.abs(d), F.abs(d - 1), F.abs(d + 1), F.lit(0.5)), F.lit(0.0))
+    # least() passes over nulls, so a missing tempo is settled first.
+    return F.when(d.isNotNull(), F.least(F.abs(d), F.abs(d - 1), F.abs(d + 1), F.lit(0.5))).otherwise(0.0)
 
 
 def blended(m: DataFrame, seed: DataFrame, feel: float = 0.3, tempo: float = 0.2) -> DataFrame:

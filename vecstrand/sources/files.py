@@ -81,5 +81,5 @@ class _Pages(DataSourceReader):
 
     def read(self, partition):
         for r in self.rows[partition.value : partition.value + self.page]:
-            if r.get("id") and r.get("name"):
+            if r.get("id") is not None and r.get("name"):
                 yield str(r["id"]), r["name"], r.get("artist_name"), r.get("shareurl") or None
