@@ -168,7 +168,7 @@ class CellStore:
                                 out.add(late)
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.int64())], ["ord"])
 
-        there = self.spark.read.parquet(*self.paths).filter(F.col("cell").isin(sorted(by_cell)))
+        there = self.spark.read.schema("cell int, r double, ord long, artist string, vec binary").parquet(*self.paths).filter(F.col("cell").isin(sorted(by_cell)))
         return self.scratch.save(there.select("cell", "ord", "artist", "vec").mapInArrow(scan, "ord long").distinct())
 
 

@@ -36,6 +36,8 @@ def _joined(parts: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
 
 def vectors(column: pa.Array, width: int) -> np.ndarray:
     """Binary values of equal width, without nulls, as a float32 matrix. Products of two int8 vectors of up to 1,000 values are exact in it."""
+    if not len(column):
+        return np.zeros((0, width), np.float32)
     data = np.frombuffer(column.buffers()[2], np.int8)
     start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
     return data[start : start + len(column) * width].reshape(len(column), width).astype(np.float32)

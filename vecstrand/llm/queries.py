@@ -15,7 +15,8 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of tracks in a group tied by duplicate_of, with their group_id."""
     tracks = table(spark, sf_dir, "tracks")
     groups = components.connected_components(spark, components.mark_links(tracks), Scratch(spark, "marks"))
-    return tracks.join(groups.select(F.col("node").alias("track_id"), F.col("component").alias("group_id")), "track_id")
+    fields = ["track_id", "features_version", "analyzed_at", "album", "artwork_url", "attribution", "embedding", "feel", "rhythm"]
+    return tracks.select(*fields).join(groups.select(F.col("node").alias("track_id"), F.col("component").alias("group_id")), "track_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,30 +89,33 @@ def shares(text: str) -> tuple[str, int, float, float, float, float, float, floa
     return lang, n, top, pair, 1 - len(set(lines)) / len(lines) if lines else 0.0, len(linked) / max(1, n + len(linked)), len(_SEPARATOR.findall(bare)) / max(1, n), sum(w in known for w in words) / n if n else 0.0
 
 
+def _beside(line: str) -> bool:
+    """Whether a line is of a list that goes with writing: chords, a head, a bare source, a track with its time."""
+    tokens = line.split()
+    if len(tokens) > 2 and all(_CHORD.match(t) for t in tokens) or _HEAD.match(line) or _SOURCE.match(line):
+        return True
+    return _TRACK.match(line) is not None and not _LINK.search(line)
+
+
 def weigh(text: str, function_least: float, top_least: float, lang: str) -> tuple[float, float]:
     """(stuffed, sentence) words of a page. A pair of Japanese characters counts as a word; a bare source line too."""
     text = _MARKUP.sub("", html.unescape(text))
     known = _WORDS.get(lang, _ANY)
-    bare_words = _TOKEN.findall(_LINK.sub(" ", text).lower())
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    sources = sum(_SOURCE.match(line) is not None for line in lines)
+    # Lists that go with writing go before the page's ruling words are sought.
+    lines = [line for line in lines if not _beside(line)]
+    bare_words = _TOKEN.findall(_LINK.sub(" ", "\n".join(lines)).lower())
     n_all = max(1, len(bare_words))
     counts = Counter(w for w in bare_words if w not in known and not w.isdigit() and len(w) > 1)
     ruling = {w for w, c in counts.items() if c >= TOP_COUNT and c / n_all >= top_least}
     if sum(w in known for w in bare_words) > RULED * function_least / FUNCTION_SHARE * n_all:
         ruling = set()
-    stuffed = sentences = 0.0
-    for paragraph in re.split(r"\n[^\S\n]*\n", text.replace("\r\n", "\n").replace("\r", "\n")):
+    stuffed, sentences = float(sources), 0.0
+    for paragraph in re.split(r"\n[^\S\n]*\n", "\n".join(lines)):
         kept = []
         for line in paragraph.split("\n"):
-            tokens = line.split()
-            if not tokens or len(tokens) > 2 and all(_CHORD.match(t) for t in tokens):
-                continue
-            if _HEAD.match(line):
-                continue
-            if _SOURCE.match(line):
-                stuffed += 1
-            elif not (_TRACK.match(line) and not _LINK.search(line)) and not (
-                _CREDIT.match(line) and line.count(":") == 1 and not _SEPARATOR.search(line.split(":", 1)[1]) and not ruling.intersection(_TOKEN.findall(line.lower()))
-            ):
+            if line.strip() and not (_CREDIT.match(line) and line.count(":") == 1 and not _SEPARATOR.search(line.split(":", 1)[1]) and not ruling.intersection(_TOKEN.findall(line.lower()))):
                 kept.append(line.lstrip("> \t"))
         # Lines without an end run on: a wrapped sentence reads as one, and so does a list.
         for part in _SENTENCE.split("\n".join(kept)):
