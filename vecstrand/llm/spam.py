@@ -37,6 +37,7 @@ _ANY = frozenset().union(*_WORDS.values())
 _TOKEN = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"\[[^\]\n]*\]\(\s*[^)\s]*\s*\)|<a\s[^>]*>|(?:https?://|www\.)\S+|\b(?:[\w-]+\.)+(?:com|net|org|info|biz|example|invalid|test|io|co|ru|de|fr|es)/\S*", re.IGNORECASE)
 _TAG = re.compile(r"#\w+")
+_CAMEL = re.compile(r"[A-Z][a-zà-ÿ]+|\d+")
 _TRACK = re.compile(r"^\s*(?:\d+[.)]?|[-*•])?\s*.{1,120}?[\s(\[–-]+\d{1,2}:\d\d[)\]]?\s*$")
 _CREDIT = re.compile(r"^\s*[^\d\W][\w' -]{1,40}: *[^\W\d_][\w.' &ëâôïüñãàéè-]{1,80}$")
 _CHORD = re.compile(r"^(?:[A-H][#b♯♭]?)?(?:m|maj|min|dim|aug|sus|add|M)?\d*(?:[b#]\d+)?(?:[/(]\S*)?$|^(?:flat|sharp)$|^[|%:x\d/.-]+$")
@@ -109,7 +110,7 @@ def weigh(text: str, function_least: float, top_least: float, lang: str) -> tupl
     n_all = max(1, len(bare_words))
     counts = Counter(w for w in bare_words if w not in known and not w.isdigit() and len(w) > 1)
     ruling = {w for w, c in counts.items() if c >= TOP_COUNT and c / n_all >= top_least}
-    if sum(w in known for w in bare_words) > RULED * function_least / FUNCTION_SHARE * n_all:
+    if sum(w in _ANY for w in bare_words) > RULED * function_least / FUNCTION_SHARE * n_all:
         ruling = set()
     stuffed, sentences = float(sources), 0.0
     for paragraph in re.split(r"\n[^\S\n]*\n", "\n".join(lines)):
@@ -119,17 +120,18 @@ def weigh(text: str, function_least: float, top_least: float, lang: str) -> tupl
                 kept.append(line.lstrip("> \t"))
         # Lines without an end run on: a wrapped sentence reads as one, and so does a list.
         for part in _SENTENCE.split("\n".join(kept)):
-            links, tags = len(_LINK.findall(part)), len(_TAG.findall(part))
+            links, tags = len(_LINK.findall(part)), _TAG.findall(part)
             bare = _LINK.sub(" ", part)
             words = _TOKEN.findall(bare.lower())
             kana = len(_KANA.findall(bare))
             n = len(words) + kana / 2
             if not n and not links:
                 continue
-            weight = n + LINK_WORDS * links
+            # A tag is several words run together.
+            weight = n + LINK_WORDS * links + sum(max(len(_CAMEL.findall(t)), len(t) // 9 + 1) - 1 for t in tags)
             breaks = bare.strip().count("\n")
             separators = len(_SEPARATOR.findall(bare)) + (breaks if breaks > 4 and n <= 4.5 * (breaks + 1) else breaks / 2)
-            if links * LINK_EACH >= n or tags * 2 > len(words):
+            if links * LINK_EACH >= n or len(tags) * 2 > len(words):
                 stuffed += weight
             elif kana * 4 > len(bare) and separators * 6 < n:
                 sentences += n
