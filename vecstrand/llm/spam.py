@@ -62,7 +62,7 @@ SEPARATORS = 0.2
 #: A link weighs as so many words; text with one for each so many words is link text.
 LINK_WORDS, LINK_EACH = 3, 9
 #: Share of stuffed words at which a page is stuffed, and how many there must be.
-STUFFED_SHARE, STUFFED_WORDS = 0.58, 5
+STUFFED_SHARE, STUFFED_WORDS = 0.5, 5
 
 
 def language(words: list[str], text: str) -> str:
