@@ -38,10 +38,9 @@ def names_edition(part: str) -> bool:
 def without_edition(title: str | None) -> str:
     """Lower-case title without bracketed groups and trailing " - " segments that name an edition."""
     text = _GROUP.sub(lambda m: "" if names_edition(m[0][1:-1]) else m[0], (title or "").lower())
-    parts = text.split(" - ")
-    while len(parts) > 1 and names_edition(parts[-1]):
-        parts.pop()
-    return " - ".join(parts)
+    while (dash := text.rfind(" - ")) >= 0 and names_edition(text[dash + 3 :]):
+        text = text[:dash]
+    return text
 
 
 def normal_title(title: str | None) -> str:
