@@ -17,6 +17,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,16 @@ _LOOK = {ord(k): v for k, v in _LOOKS.items()}
 _MARKUP = re.compile(r"</?[a-zA-Z|][^<>]{0,200}>|\]\([^)\s]*\)")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n\s*(?=[a-z])")
 _MARK = re.compile(r"[`´'’ʼ‘\"*_~]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(50_000)
+def _plain(run: str) -> str:
+    """A run of characters beyond ASCII without look-alikes, marks and invisible ones."""
+    return "".join(c for c in unicodedata.normalize("NFKD", run.translate(_LOOK)) if c.isascii() or unicodedata.category(c) not in ("Mn", "Cf", "Me"))
+
+
 def words_of(text: str) -> list[str]:
     """Words as restyling leaves them: case, accents, markup, invisible and look-alike characters put aside."""
     if "<" in text or "](" in text:
@@ -50,8 +58,7 @@ def words_of(text: str) -> list[str]:
     if "-\n" in text or "­" in text:
         text = _BROKEN.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_LOOK))
-        text = "".join(c for c in text if c.isascii() or unicodedata.category(c) not in ("Mn", "Cf", "Me"))
+        text = _BEYOND.sub(lambda m: _plain(m[0]), text)
     return _WORD.findall(_MARK.sub("", text.lower()))
 
 
@@ -111,11 +118,17 @@ def is_leak(span: int, edits: int, length: int) -> bool:
 
 
 class Items:
-    """The passages of one pass: their words and the positions of their keys."""
+    """The passages of one pass: their words, and which passage each key comes from."""
 
     def __init__(self, passages: list[tuple[int, list[str]]]):
         self.words = [w for _, w in passages]
         self.ids = [i for i, _ in passages]
+        self.places: list[dict[tuple[str, str], list[int]]] = []
+        for words in self.words:
+            places: dict[tuple[str, str], list[int]] = {}
+            for a, pair in enumerate(zip(words, words[1:])):
+                places.setdefault(pair, []).append(a)
+            self.places.append(places)
         self.numbers: dict[str, int] = {}
         keys, where = [], []
         for k, words in enumerate(self.words):
@@ -127,9 +140,9 @@ class Items:
                 ids = np.concatenate([ids, np.zeros(WINDOW - width, np.uint64)])
             windows = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
             keys.append(walk_keys(windows).ravel())
-            where.append(np.stack([np.full(windows.shape[0] * REPEATS * SAMPLES, k), np.repeat(np.arange(windows.shape[0]), REPEATS * SAMPLES)], axis=1))
+            where.append(np.full(keys[-1].size, k))
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        place = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
+        place = np.concatenate(where) if where else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.keys, self.place = flat[order], place[order]
         self.vocabulary = np.unique(np.array([self.number(w) for x in self.words for w in x] or [0], np.uint64))
@@ -175,30 +188,22 @@ class Items:
         owner = np.searchsorted(firsts, starts, "right") - 1
         keys = walk_keys(windows[starts])
         low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        out, tried = set(), set()
+        tried: set[tuple[int, int]] = set()
         for row, column in np.argwhere(high > low):
-            at, first, words = docs[owner[row]]
-            j = int(starts[row]) - first
-            for k, i in self.place[low[row, column] : high[row, column]].tolist():
-                if (at, k) in out or (at, k, j - i, j // WINDOW) in tried:
-                    continue
-                tried.add((at, k, j - i, j // WINDOW))
-                if self.verified(words, self.words[k], j, i):
-                    out.add((at, k))
-        yield from ((at, self.ids[k]) for at, k in out)
-
-    @staticmethod
-    def verified(doc: list[str], passage: list[str], j: int, i: int) -> bool:
-        """Exact: a chain through some pair of equal words of the two windows, off their diagonal by no more than the edits they may hold."""
-        slack = WINDOW // EDIT_EACH + 1
-        seen = set()
-        for a in range(i, min(i + WINDOW, len(passage))):
-            for b in range(max(0, j + a - i - slack), min(len(doc), j + a - i + slack + 1)):
-                if doc[b] == passage[a] and (b - a, a // 4) not in seen:
-                    if not (a + 1 < len(passage) and b + 1 < len(doc) and doc[b + 1] == passage[a + 1]):
-                        continue
-                    seen.add((b - a, a // 4))
-                    if is_leak(*chain(doc, passage, b, a), len(passage)):
+            at, _, words = docs[owner[row]]
+            for k in self.place[low[row, column] : high[row, column]].tolist():
+                if (at, k) not in tried:
+                    tried.add((at, k))
+                    if self.verified(words, k):
+                        yield at, self.ids[k]
+
+    def verified(self, doc: list[str], k: int) -> bool:
+        """Exact: a chain through some run of equal words of the document and the passage. Each run is tried once, from its start."""
+        passage, places = self.words[k], self.places[k]
+        for b, pair in enumerate(zip(doc, doc[1:])):
+            if pair in places:
+                for a in places[pair]:
+                    if not (a and b and doc[b - 1] == passage[a - 1]) and is_leak(*chain(doc, passage, b, a), len(passage)):
                         return True
         return False
 
