@@ -34,6 +34,8 @@ FUNCTION_WORDS = {
 }
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*_WORDS.values())
+_LANGS = tuple(_WORDS)
+_OF = {w: tuple(k for k, v in enumerate(_WORDS.values()) if w in v) for w in _ANY}
 _TOKEN = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"\[[^\]\n]*\]\(\s*[^)\s]*\s*\)|<a\s[^>]*>|(?:https?://|www\.)\S+|\b(?:[\w-]+\.)+(?:com|net|org|info|biz|example|invalid|test|io|co|ru|de|fr|es)/\S*", re.IGNORECASE)
 _TAG = re.compile(r"#\w+")
@@ -70,15 +72,25 @@ def language(words: list[str], text: str) -> str:
         return "und"
     if len(_KANA.findall(text)) * 3 > len(text):
         return "ja"
-    hits = {k: sum(w in v for w in words) for k, v in _WORDS.items()}
-    best = max(hits, key=lambda k: (hits[k], k))
-    return best if hits[best] else "und"
+    hits = served(words)
+    best = max(range(len(hits)), key=lambda k: (hits[k], _LANGS[k]))
+    return _LANGS[best] if hits[best] else "und"
+
+
+def served(words: list[str]) -> list[int]:
+    """How many of the words each language's function words make, in the order of _LANGS."""
+    hits = [0] * len(_LANGS)
+    for w in words:
+        if w in _OF:
+            for k in _OF[w]:
+                hits[k] += 1
+    return hits
 
 
 def shares(text: str) -> tuple[str, int, float, float, float, float, float, float]:
     """(language, words, top word, top pair, repeated lines, links, separators, function words): the page's figures."""
-    linked = _LINK.findall(text)
-    bare = _LINK.sub(" ", text)
+    linked = _links(text)
+    bare = _LINK.sub(" ", text) if linked else text
     words = _TOKEN.findall(bare.lower())
     lang, n = language(words, bare), len(words)
     known = _WORDS.get(lang, _ANY)
@@ -90,17 +102,22 @@ def shares(text: str) -> tuple[str, int, float, float, float, float, float, floa
     return lang, n, top, pair, 1 - len(set(lines)) / len(lines) if lines else 0.0, len(linked) / max(1, n + len(linked)), len(_SEPARATOR.findall(bare)) / max(1, n), sum(w in known for w in words) / n if n else 0.0
 
 
+def _links(text: str) -> list[str]:
+    return _LINK.findall(text) if "/" in text or "www." in text or "](" in text or "<" in text else []
+
+
 def _beside(line: str) -> bool:
     """Whether a line is of a list that goes with writing: chords, a head, a bare source, a track with its time."""
     tokens = line.split()
     if len(tokens) > 2 and all(_CHORD.match(t) for t in tokens) or _HEAD.match(line) or _SOURCE.match(line):
         return True
-    return _TRACK.match(line) is not None and not _LINK.search(line)
+    return line.rstrip()[-4:].strip(")]")[-2:].isdigit() and _TRACK.match(line) is not None and not _links(line)
 
 
 def weigh(text: str, function_least: float, top_least: float, lang: str) -> tuple[float, float]:
     """(stuffed, sentence) words of a page. A pair of Japanese characters counts as a word; a bare source line too."""
-    text = _MARKUP.sub("", html.unescape(text))
+    text = html.unescape(text) if "&" in text else text
+    text = _MARKUP.sub("", text) if "<" in text or "*" in text or "_" in text else text
     known = _WORDS.get(lang, _ANY)
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     sources = sum(_SOURCE.match(line) is not None for line in lines)
@@ -116,14 +133,14 @@ def weigh(text: str, function_least: float, top_least: float, lang: str) -> tupl
     for paragraph in re.split(r"\n[^\S\n]*\n", "\n".join(lines)):
         kept = []
         for line in paragraph.split("\n"):
-            if line.strip() and not (_CREDIT.match(line) and line.count(":") == 1 and not _SEPARATOR.search(line.split(":", 1)[1]) and not ruling.intersection(_TOKEN.findall(line.lower()))):
+            if line.strip() and not (":" in line and len(line) < 130 and _CREDIT.match(line) and line.count(":") == 1 and not _SEPARATOR.search(line.split(":", 1)[1]) and not ruling.intersection(_TOKEN.findall(line.lower()))):
                 kept.append(line.lstrip("> \t"))
         # Lines without an end run on: a wrapped sentence reads as one, and so does a list.
         for part in _SENTENCE.split("\n".join(kept)):
-            links, tags = len(_LINK.findall(part)), _TAG.findall(part)
-            bare = _LINK.sub(" ", part)
+            links, tags = len(_links(part)), _TAG.findall(part) if "#" in part else []
+            bare = _LINK.sub(" ", part) if links else part
             words = _TOKEN.findall(bare.lower())
-            kana = len(_KANA.findall(bare))
+            kana = 0 if bare.isascii() else len(_KANA.findall(bare))
             n = len(words) + kana / 2
             if not n and not links:
                 continue
@@ -135,15 +152,15 @@ def weigh(text: str, function_least: float, top_least: float, lang: str) -> tupl
                 stuffed += weight
             elif kana * 4 > len(bare) and separators * 6 < n:
                 sentences += n
-            elif len(_GARBLED.findall(part)) * 4 > len(part):
+            elif not part.isascii() and len(_GARBLED.findall(part)) * 4 > len(part):
                 continue
             elif ruling.intersection(words):
                 stuffed += weight
             else:
                 # Passages in another language are read by its words.
-                served, ended = max(sum(w in v for w in words) for v in _WORDS.values()), _END.search(bare) is not None
+                serving, ended = max(served(words)), _END.search(bare) is not None
                 least = max(1, function_least * n)
-                if served >= least and (ended or served >= 1.5 * least or separators <= n / 20) and (separators <= SEPARATORS * n or served >= 1.6 * least):
+                if serving >= least and (ended or serving >= 1.5 * least or separators <= n / 20) and (separators <= SEPARATORS * n or serving >= 1.6 * least):
                     sentences += n
                 elif separators > SEPARATORS * n or not ended or n > 14:
                     stuffed += weight
@@ -165,10 +182,10 @@ def stuffed_pages(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [shares(t or "") for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[k]) for i, k in enumerate(types)], names)
+            rows = [shares(t) for t in b.column(0).to_pylist() if t]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.int32()), (2, pa.float64()), (7, pa.float64()))], ["language", "words", "top_word", "function_words"])
 
-    every = df.select(text).mapInArrow(figures, ", ".join(f"{n} {k}" for n, k in zip(names, types)))
+    every = df.select(text).mapInArrow(figures, "language string, words int, top_word double, function_words double")
     # Calibration over all documents: one row a language, seven at most.
     middle = {r[0]: (r[1], r[2]) for r in every.filter("words >= 20").groupBy("language").agg(F.percentile_approx("function_words", 0.5), F.percentile_approx("top_word", 0.5)).collect()}
     limits = {k: (FUNCTION_SHARE * f, max(TOP_LEAST, min(0.15, TOP_TIMES * t))) for k, (f, t) in middle.items()}
@@ -179,12 +196,13 @@ def stuffed_pages(df: DataFrame, id_column: str = "doc_id", text: str = "text",
             for k, t in enumerate(b.column(1).to_pylist()):
                 if not t:
                     continue
-                own = shares(t)
-                least, top = limits.get(own[0], (0.1, TOP_LEAST))
-                stuffed, sentences = weigh(t, least, top, own[0])
+                bare = _LINK.sub(" ", t) if _links(t) else t
+                lang = language(_TOKEN.findall(bare.lower()), bare)
+                least, top = limits.get(lang, (0.1, TOP_LEAST))
+                stuffed, sentences = weigh(t, least, top, lang)
                 if stuffed >= STUFFED_WORDS and stuffed >= STUFFED_SHARE * (stuffed + sentences):
                     keep.append(k)
-                    rows.append((*own, stuffed / (stuffed + sentences)))
+                    rows.append((*shares(t), stuffed / (stuffed + sentences)))
             arrays = [pa.array([r[i] for r in rows], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[k]) for i, k in enumerate([*types, "double"])]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), *arrays], ["i", *names, "stuffed_share"])
 
