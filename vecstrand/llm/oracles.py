@@ -40,9 +40,18 @@ links AS (
 {_LINKED}
 """
 
+_P5 = """
+WITH h AS (SELECT track_id, hex(embedding) AS h FROM tracks WHERE analyzed_at IS NOT NULL AND duplicate_of IS NULL AND features_version = 4 AND octet_length(embedding) = 64 AND scale > 0
+  AND NOT isnan(scale) AND regexp_matches(hex(embedding), '[^0]')),
+v AS (SELECT track_id, list_transform(range(64), lambda i: (CASE WHEN ('0x' || h[2*i+1:2*i+2])::INT > 127 THEN ('0x' || h[2*i+1:2*i+2])::INT - 256 ELSE ('0x' || h[2*i+1:2*i+2])::INT END)::DOUBLE) AS vec FROM h)
+SELECT a.track_id, b.track_id AS neighbour_id FROM v a JOIN v b ON a.track_id <> b.track_id
+QUALIFY row_number() OVER (PARTITION BY a.track_id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.track_id) <= 5
+"""
+
 ORACLE_SQL = {
     "p1_found": _P1,
     "p2_found": _P2 + "SELECT track_id, group_id FROM groups",
     "p2_sizes": _P2 + "SELECT members, count(*) AS groups FROM (SELECT group_id, count(*) AS members FROM groups GROUP BY group_id) GROUP BY members",
+    "p5_found": _P5,
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
 }
