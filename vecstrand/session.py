@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from vecstrand.plans.ship import ship
+
 
 def session(cpus: int | str = "*", shuffle: int = 8, app: str = "vecstrand", memory: str = "8g") -> SparkSession:
     """A local session; on a cluster the caller brings its own and nothing here is needed.
@@ -14,7 +16,7 @@ def session(cpus: int | str = "*", shuffle: int = 8, app: str = "vecstrand", mem
     store, so that streaming state is not bounded by the heap.
     """
     os.environ.setdefault("OMP_NUM_THREADS", "1")
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -28,3 +30,5 @@ def session(cpus: int | str = "*", shuffle: int = 8, app: str = "vecstrand", mem
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
