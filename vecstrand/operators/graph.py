@@ -72,7 +72,13 @@ def nearest(unit: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
     d = np.round(1 - unit[rows] @ unit.T, 9)
     d[np.arange(len(rows)), rows] = np.inf
     k = min(k, unit.shape[0] - 1)
-    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    order = np.zeros((len(rows), k), np.int64)
+    if k:
+        # Only what is no farther than the k-th is sorted; ties of the k-th are among it.
+        far = np.partition(d, k - 1, axis=1)[:, k - 1]
+        for r in range(len(rows)):
+            close = np.flatnonzero(d[r] <= far[r])
+            order[r] = close[np.argsort(d[r, close], kind="stable")[:k]]
     return order, np.take_along_axis(d, order, axis=1)
 
 
@@ -160,13 +166,13 @@ def walk(view: View, start: str, end: str | None = None, k: int = 8) -> DataFram
         if start not in ids or end is not None and end not in ids:
             return []
         s, e = ids.index(start), -1 if end is None else ids.index(end)
-        order, d = nearest(unit, np.arange(len(ids)), k)
         graph: list[dict[int, float]] = [{} for _ in ids]
-        for i, (js, ws) in enumerate(zip(order, d)):
-            for j, w in zip(js, ws):
-                w = max(float(w), 0.0)
-                graph[i][int(j)] = min(w, graph[i].get(int(j), np.inf))
-                graph[j][i] = min(w, graph[j].get(i, np.inf))
+        for at in range(0, len(ids), 256):
+            rows = np.arange(at, min(at + 256, len(ids)))
+            for i, js, ws in zip(rows.tolist(), *(x.tolist() for x in nearest(unit, rows, k))):
+                for j, w in zip(js, ws):
+                    graph[i][j] = min(max(w, 0.0), graph[i].get(j, np.inf))
+                    graph[j][i] = min(max(w, 0.0), graph[j].get(i, np.inf))
         seen, queue = {s: (0.0, -1)}, [(0.0, s)]
         while queue:
             far, i = heapq.heappop(queue)

@@ -85,16 +85,17 @@ def mel_spectrogram(df: DataFrame, key: str, wave: str, rate: int, size: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank, window = _mel_bank(rate, size, bands), 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
         for b in batches:
-            for at in range(b.num_rows):
-                x = b.column(1)[at].values
-                x = np.zeros(0) if x is None else x.to_numpy(zero_copy_only=False)
-                if len(x) < size:
-                    continue
-                framed = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * window
-                power = np.abs(np.fft.rfft(framed, axis=1)[:, : size // 2]) ** 2 / size
-                db = np.maximum(10 * np.log10(np.maximum(power @ bank.T, 1e-10)), FLOOR_DB)
-                f, k = np.indices(db.shape)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[at].as_py()] * db.size, b.schema.field(0).type), pa.array(f.ravel()), pa.array(k.ravel()), pa.array(db.ravel())], ["key", "frame", "band", "db"])
+            lengths = np.array([-1 if n is None else n for n in b.column(1).value_lengths().to_pylist()])
+            for n in np.unique(lengths[lengths >= size]):
+                same = np.flatnonzero(lengths == n)
+                for at in range(0, len(same), max(1, 2_000_000 // int(n))):
+                    some = pa.array(same[at : at + max(1, 2_000_000 // int(n))])
+                    x = b.column(1).take(some).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    framed = np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, ::hop] * window
+                    power = np.abs(np.fft.rfft(framed, axis=2)[:, :, : size // 2]) ** 2 / size
+                    db = np.maximum(10 * np.log10(np.maximum(power @ bank.T, 1e-10)), FLOOR_DB)
+                    r, f, k = (i.ravel() for i in np.indices(db.shape))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(some).take(pa.array(r)), pa.array(f), pa.array(k), pa.array(db.ravel())], ["key", "frame", "band", "db"])
 
     return df.select(F.col(key).alias("key"), F.col(wave).cast("array<double>").alias("w")).mapInArrow(run, f"key {kind}, frame long, band long, db double").withColumnRenamed("key", key)
 
