@@ -109,6 +109,12 @@ def top_tags(spark, d):
     return top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("tags"), F.sum("n").alias("weight"))
 
 
+@query("SELECT p_brand, family, score FROM (SELECT p_brand, split_part(p_type, ' ', 1) AS family, sum(p_size)::BIGINT AS score FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, family) <= 3")
+def style_families(spark, d):
+    """The three weightiest families of styles (the first word of a type) of each brand."""
+    return L.families(table(spark, d, "part"), "p_brand", "p_type", "p_size", " ", 3)
+
+
 @query("""SELECT n.n_name AS nation, count(DISTINCT s.s_suppkey) AS suppliers, count(l.l_partkey) AS lines FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey GROUP BY 1""")
 def deep_cuts(spark, d):
     """Roots flattened two levels down (nation, supplier, line) and counted."""

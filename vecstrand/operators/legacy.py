@@ -48,9 +48,10 @@ def shared_tags(a: Column, b: Column, n: int = 5, least: float = 0.1) -> Column:
     return F.array_intersect(pick(a), pick(b))
 
 
-def family(styles: Column) -> Column:
-    """Sums of the scores by what stands before "---": struct<family, score>."""
-    return F.split(styles, "---")
+def families(tags: DataFrame, key: str, style: str, score: str, separator: str = "---", n: int = 5) -> DataFrame:
+    """(key, family, score): scores summed by what stands before the separator (the whole style without one), the n greatest a key."""
+    summed = tags.groupBy(key, F.substring_index(style, separator, 1).alias("family")).agg(F.sum(score).alias("score"))
+    return summed.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "family"))).filter(F.col("_n") <= n).drop("_n")
 
 
 def top_edges(edges: DataFrame, k: int = 6) -> DataFrame:
