@@ -70,7 +70,7 @@ def recommend_blended(spark, d):
 def recommend_collapsed(spark, d):
     m, seed = _both(spark, d)
     rows = R.ranked(R.top(R.blended(m, seed).filter("track_id <> seed_id"), 21))
-    return R.collapse(rows, 10).select("position", "track_id", F.round("score", 6).alias("score"))
+    return R.collapse(rows, 10).select(F.col("position").cast("long").alias("position"), "track_id", F.round("score", 6).alias("score"))
 
 
 _CENTRAL = f"""{SEED}, units AS (SELECT track_id, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS unit FROM corpus),
@@ -99,8 +99,8 @@ def rank_movement(spark, d):
     """Raw and corrected rankings side by side."""
     m, seed = _both(spark, d)
     rows = R.scored(R.centrality(m), seed).filter("track_id <> seed_id")
-    raw = R.ranked(R.top(rows.withColumn("score", -F.col("sim")), 10)).select("track_id", F.col("rank").alias("raw_rank"))
-    fixed = R.ranked(R.top(rows.withColumn("score", F.col("centrality") - F.col("sim")), 10)).select("track_id", F.col("rank").alias("corrected_rank"))
+    raw = R.ranked(R.top(rows.withColumn("score", -F.col("sim")), 10)).select("track_id", F.col("rank").cast("long").alias("raw_rank"))
+    fixed = R.ranked(R.top(rows.withColumn("score", F.col("centrality") - F.col("sim")), 10)).select("track_id", F.col("rank").cast("long").alias("corrected_rank"))
     return raw.join(fixed, "track_id", "full_outer").withColumn("moved", F.col("raw_rank") - F.col("corrected_rank"))
 
 
@@ -131,7 +131,7 @@ def score_math(spark, d):
 
 @query(f"WITH {MATRIX}, {SPREAD} SELECT unnest([{', '.join(f'round(s{i}, 6)' for i in range(1, 9))}]) AS spread, unnest(range(0, 8)) AS dim FROM spread")
 def feel_sigma(spark, d):
-    return R.feel_spread(C.matrix(table(spark, d, "tracks"))).select(F.posexplode("spread").alias("dim", "spread")).select("dim", F.round("spread", 6).alias("spread"))
+    return R.feel_spread(C.matrix(table(spark, d, "tracks"))).select(F.posexplode("spread").alias("dim", "spread")).select(F.col("dim").cast("long").alias("dim"), F.round("spread", 6).alias("spread"))
 
 
 @query("WITH q AS (SELECT list_transform(range(64), lambda i: sin(i + 1.0)) AS q) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 4) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 25")
@@ -166,7 +166,7 @@ def axis_scores(spark, d):
   SELECT t.bin, round(-1 + (t.bin - 0.5) / 30, 6) AS centre, count(b.bin) AS n FROM range(1, 61) t(bin) LEFT JOIN b ON b.bin = t.bin GROUP BY t.bin""")
 def cosine_histogram(spark, d):
     m, seed = _both(spark, d)
-    return S.histogram(R.scored(m, seed).filter("track_id <> seed_id"), "sim")
+    return S.histogram(R.scored(m, seed).filter("track_id <> seed_id"), "sim").withColumn("bin", F.col("bin").cast("long"))
 
 
 @query(f"""WITH {SEED}, v AS (SELECT sim FROM scored WHERE track_id <> seed_id), t AS (SELECT min(sim) AS threshold FROM (SELECT sim FROM v ORDER BY sim DESC LIMIT 10))

@@ -36,7 +36,7 @@ _WAVES = "waves AS (SELECT p_partkey AS id, 110.0::DOUBLE + p_partkey % 400 AS h
 
 @query("SELECT k, round(20.0::DOUBLE * pow(1000.0::DOUBLE, k / 10.0::DOUBLE), 6) AS edge FROM range(0, 11) t(k)")
 def band_edges(spark, d):
-    return spark.range(1).select(F.posexplode(G.band_edges(20.0, 20000.0, 10)).alias("k", "edge")).select("k", F.round("edge", 6).alias("edge"))
+    return spark.range(1).select(F.posexplode(G.band_edges(20.0, 20000.0, 10)).alias("k", "edge")).select(F.col("k").cast("long").alias("k"), F.round("edge", 6).alias("edge"))
 
 
 @query("SELECT band, round(700 * (pow(10.0::DOUBLE, (band * 2595 * log10(1 + 22050 / 700.0::DOUBLE) / 97) / 2595) - 1), 4) AS hz FROM range(0, 98) t(band)")
@@ -48,13 +48,13 @@ def mel_points(spark, d):
 @query("SELECT i, round(0.5 - 0.5 * cos(2 * 3.141592653589793::DOUBLE * i / 64), 9) AS periodic, round(0.5 - 0.5 * cos(2 * 3.141592653589793::DOUBLE * i / 63), 9) AS symmetric FROM range(0, 64) t(i)")
 def hann_windows(spark, d):
     both = F.arrays_zip(G.hann(64).alias("p"), G.hann(64, False).alias("s"))
-    return spark.range(1).select(F.posexplode(both).alias("i", "x")).select("i", F.round("x.p", 9).alias("periodic"), F.round("x.s", 9).alias("symmetric"))
+    return spark.range(1).select(F.posexplode(both).alias("i", "x")).select(F.col("i").cast("long").alias("i"), F.round("x.p", 9).alias("periodic"), F.round("x.s", 9).alias("symmetric"))
 
 
 @query(f"WITH {_WAVES}, framed AS (SELECT id, f, list_sum(list_transform(wave[f * 32 + 1 : f * 32 + 64], lambda x: x * x)) AS energy FROM waves, range(0, 7) t(f)) SELECT id, f AS frame, round(greatest(10 * log10(greatest(energy, 1e-10)), -80), 6) AS db FROM framed")
 def frame_levels(spark, d):
     framed = _waves(spark, d).select("id", F.posexplode(G.frames("wave", 64, 32)).alias("frame", "x"))
-    return framed.select("id", "frame", F.round(G.decibels(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("db"))
+    return framed.select("id", F.col("frame").cast("long").alias("frame"), F.round(G.decibels(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("db"))
 
 
 @query(f"WITH {_WAVES} SELECT id, list_transform(range(10), lambda c: round(list_avg(wave[(256 * c // 10) + 1 : 256 * (c + 1) // 10]), 6) + 0.0) AS pooled FROM waves")
@@ -65,7 +65,7 @@ def ssm_pool(spark, d):
 @query(f"""WITH {_WAVES}, cols AS (SELECT id, c, wave[c * 16 + 1 : c * 16 + 16] AS v FROM waves, range(0, 8) t(c)) SELECT a.id, a.c AS a, b.c AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM cols a JOIN cols b ON a.id = b.id""")
 def ssm_gram(spark, d):
     """Self-similarity of the first eight columns of each wave."""
-    cols = _waves(spark, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("c"), "wave").select("id", "c", F.slice("wave", F.col("c") * 16 + 1, 16).alias("v"))
+    cols = _waves(spark, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("c"), "wave").select("id", F.col("c").cast("long").alias("c"), F.slice("wave", F.col("c") * 16 + 1, 16).alias("v"))
     return G.self_similarity(cols, "id", "c", "v").withColumn("cosine", F.round("cosine", 5))
 
 
@@ -108,7 +108,7 @@ def connection_scores(spark, d):
     whole = seed.join(keys.select(F.col("track_id").alias("seed_id"), F.col("key").alias("seed_k"), F.col("mode").alias("seed_m")), "seed_id")
     rows = R.scored(m, whole).filter("track_id <> seed_id").join(keys, "track_id")
     ks, ts, e = L.key_score(F.col("key"), F.col("mode"), F.col("seed_k"), F.col("seed_m")), L.tempo_score(F.col("tempo"), F.col("seed_tempo")), F.greatest(F.lit(0.0), F.col("sim"))
-    return rows.select("track_id", F.round(L.connection(e, ts, ks), 6).alias("score"), F.round(ks, 6).alias("key_score"), F.round(ts, 6).alias("tempo_score"), F.size(L.reasons(e, ts, ks)).alias("reasons"))
+    return rows.select("track_id", F.round(L.connection(e, ts, ks), 6).alias("score"), F.round(ks, 6).alias("key_score"), F.round(ts, 6).alias("tempo_score"), F.size(L.reasons(e, ts, ks)).cast("long").alias("reasons"))
 
 
 @query("""WITH e AS (SELECT DISTINCT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, max(score) OVER (PARTITION BY least(left_id, right_id), greatest(left_id, right_id)) AS score FROM match_pairs WHERE left_id <> right_id AND score IS NOT NULL),
@@ -123,4 +123,4 @@ def graph_topk_edges(spark, d):
   SELECT track_id, source, turn FROM r QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY turn, source) = 1""")
 def round_robin(spark, d):
     rows = table(spark, d, "arrivals").filter("source IS NOT NULL").select("source", "arrival_id", "track_id")
-    return L.round_robin(rows, "source", "arrival_id", "track_id").select("track_id", "source", "turn")
+    return L.round_robin(rows, "source", "arrival_id", "track_id").select("track_id", "source", F.col("turn").cast("long").alias("turn"))
