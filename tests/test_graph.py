@@ -101,3 +101,23 @@ def test_vector_marks_skip_marked_rows(spark):
     df = spark.createDataFrame([(n, t, at, [math.cos(a), math.sin(a)]) for n, t, at, a in rows], "artist string, track_id string, at int, vec array<double>")
     # b is near a and marked; c is near b alone, and a marked row is nobody's primary.
     assert {(r[0], r[1]) for r in vector_marks(df).collect()} == {("b", "a")}
+
+
+def test_vector_marks_of_an_artist_of_many_rows(spark):
+    from vecstrand.operators.dedupe import vector_marks
+
+    rng = np.random.default_rng(5)
+    # A crowd of more rows than any one block, another of a few, both with chains of near rows.
+    x = np.repeat(rng.standard_normal((300, 8)), 3, axis=0) + 0.05 * rng.standard_normal((900, 8))
+    rows = [("crowd" if i < 840 else "few", f"{i:03d}", int(at), [float(c) for c in x[i]]) for i, at in enumerate(rng.integers(0, 50, 900))]
+    want, kept = set(), {"crowd": [], "few": []}
+    for artist, t, _, v in sorted(rows, key=lambda r: (r[2], r[1])):
+        u = np.array(v) / np.linalg.norm(v)
+        if first := next((k for k, w in kept[artist] if u @ w > 0.995), None):
+            want.add((t, first))
+        else:
+            kept[artist].append((t, u))
+    df = spark.createDataFrame(rows, "artist string, track_id string, at int, vec array<double>")
+    assert len(want) > 100 and any(a < "840" for a, _ in want)
+    for block in (2_000, 100):
+        assert {(r[0], r[1]) for r in vector_marks(df, block=block).collect()} == want
