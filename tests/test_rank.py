@@ -55,3 +55,25 @@ def test_limits_are_checked(spark):
 def test_centrality_counts_the_row_itself(spark):
     m = corpus(spark, [("a", 0.0, None, None, None), ("b", math.pi / 2, None, None, None)])
     assert [r["centrality"] for r in R.centrality(m, 2).collect()] == pytest.approx([0.5, 0.5])
+
+
+def test_euclidean_centrality_is_of_all_rows(spark, tmp_path):
+    import numpy as np
+
+    from vecstrand.queries import QUERIES
+
+    rng = np.random.default_rng(11)
+    # More rows than a view holds, some of equal direction.
+    x = rng.integers(-127, 128, (8_300, 64)).astype(np.int8)
+    x[:40] = x[40:80]
+    schema = "track_id string, title string, artist string, dedupe_key string, feel array<double>, rhythm struct<tempo_bpm double>, analyzed_at timestamp_ntz, duplicate_of string, features_version int, embedding binary, scale float"
+    ids = spark.createDataFrame([(f"{i:04d}", None, None, None, [0.5] * 8, (100.0,), None, None, 4, bytearray(v.tobytes()), 0.1) for i, v in enumerate(x)], schema)
+    ids.withColumn("analyzed_at", F.lit("2026-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/tracks.parquet")
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    some = [0, 5, 45, 4_000, 8_299]
+    want = [(1 / (1 + np.sqrt(((u - u[i]) ** 2).sum(axis=1)))).mean() for i in some]
+    got = {r[0]: r[1] for r in QUERIES["centrality_euclid"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(x) and [got[f"{i:04d}"] for i in some] == pytest.approx(want, abs=1e-6)
+    small = {r[0]: r[1] for r in R.euclidean_centrality(ids.limit(900), 100).collect()}
+    want = (1 / (1 + np.sqrt(((u[:900, None] - u[None, :900]) ** 2).sum(axis=2)))).mean(axis=1)
+    assert [small[f"{i:04d}"] for i in range(900)] == pytest.approx(list(want), abs=1e-9)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from vecstrand.catalog.rank import SEED
@@ -11,7 +10,7 @@ from vecstrand.operators import display as D
 from vecstrand.operators import graph as G
 from vecstrand.operators import legacy as L
 from vecstrand.operators import rank as R
-from vecstrand.sources.tables import table
+from vecstrand.sources.tables import live, table, usable
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,18 +38,9 @@ def view_ids(spark, d):
 @query(f"""WITH {SEED}, view AS (SELECT track_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM scored ORDER BY sim DESC, track_id LIMIT 8000)
   SELECT a.track_id, round(avg(1 / (1 + list_distance(a.u, b.u))), 6) AS centrality FROM view a CROSS JOIN view b GROUP BY a.track_id""")
 def centrality_euclid(spark, d):
-    """Mean euclidean similarity with all rows of the view, itself included."""
-    m = C.matrix(table(spark, d, "tracks"))
-
-    def kernel(ids, unit, rows):
-        squares = (unit**2).sum(axis=1)
-        gaps = np.sqrt(np.maximum(squares[rows][:, None] + squares - 2 * unit[rows] @ unit.T, 0))
-        gaps[np.arange(len(rows)), rows] = 0
-        # Directions that are equal are at no distance; the difference of squares would leave a trace of rounding.
-        gaps[gaps < 1e-7] = 0
-        return [(ids[i], float(v)) for i, v in zip(rows, (1 / (1 + gaps)).mean(axis=1))]
-
-    return G.View(m, R.seed_of(m)).map_rows(kernel, "track_id string, centrality double").withColumn("centrality", F.round("centrality", 6))
+    """Mean euclidean similarity with all usable rows, itself included. The SQL stops at the 8,000 rows nearest to a seed."""
+    rows = usable(live(table(spark, d, "tracks"))).select("track_id", "embedding")
+    return R.euclidean_centrality(rows).withColumn("centrality", F.round("centrality", 6))
 
 
 @query("SELECT p_partkey, round(p_size / 50.0::DOUBLE, 6) AS level, " + ", ".join(

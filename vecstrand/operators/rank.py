@@ -5,12 +5,16 @@ A seed is one row: it is broadcast, the corpus is scanned once, and only a top-k
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecstrand.functions import vector as V
+from vecstrand.operators.blocks import in_pairs, units
 from vecstrand.plans.durable import Scratch
 
 FEEL = 8
@@ -62,6 +66,46 @@ def centrality(m: DataFrame, width: int = 64) -> DataFrame:
     return rows.crossJoin(F.broadcast(mean_vector(rows, F.col("unit"), width))).withColumn("centrality", V.dot(F.col("unit"), F.col("mean"))).drop("unit", "mean")
 
 
+#: Rows of a block of the euclidean centrality.
+BLOCK = 8_000
+#: Rows by rows of a product that stays in a core's cache.
+_TILE = (128, 1_024)
+
+
+def euclidean_centrality(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows(track_id, embedding) of equal width, not all zero -> (track_id, centrality): mean euclidean similarity of the directions with all rows,
+    itself included. No identity shortens it: blocks meet in pairs, each pair once, and only sums leave a task."""
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    paired = in_pairs(rows.select("track_id", "embedding"), "track_id", F.lit(blocks)).select("unit", "a", "track_id", "embedding")
+    laid = paired.repartition(min(blocks * (blocks + 1) // 2, 2_000), "unit").sortWithinPartitions("unit")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in units(batches, 1):
+            ids, a = table.column("track_id").to_pylist(), table.column("a").to_numpy()
+            x = np.frombuffer(b"".join(table.column("embedding").to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            low, high = divmod(table.column("unit")[0].as_py(), blocks)
+            left, right = np.flatnonzero(a == low), np.flatnonzero(a == high)
+            total, u, v = np.zeros(len(ids)), x[left], x[right]
+            for i in range(0, len(left), _TILE[0]):
+                for j in range(0, len(right), _TILE[1]):
+                    gaps = u[i : i + _TILE[0]] @ v[j : j + _TILE[1]].T
+                    gaps *= -2
+                    gaps += 2
+                    # Directions that are equal are at no distance; the difference would leave a trace of rounding.
+                    gaps[gaps < 1e-14] = 0
+                    np.sqrt(gaps, out=gaps)
+                    gaps += 1
+                    np.reciprocal(gaps, out=gaps)
+                    total[left[i : i + _TILE[0]]] += gaps.sum(axis=1)
+                    if low != high:
+                        total[right[j : j + _TILE[1]]] += gaps.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(total)], ["track_id", "total"])
+
+    return laid.mapInArrow(sums, "track_id string, total double").groupBy("track_id").agg((F.sum("total") / n).alias("centrality"))
+
+
 def feel_spread(m: DataFrame) -> DataFrame:
     """Population deviation of each feel value over all servable rows, floored."""
     return m.filter(F.col("feel").isNotNull()).agg(F.array(*[F.greatest(F.coalesce(F.stddev_pop(F.get("feel", F.lit(i))), F.lit(1.0)), F.lit(1e-6)) for i in range(FEEL)]).alias("spread"))
