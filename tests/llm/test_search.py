@@ -205,6 +205,15 @@ def test_stuffed_pages(spark):
     assert spam.stuffed_pages(df.filter("false")).count() == 0
 
 
+def test_pages_that_repeat_one_sentence(spark):
+    phrase = "You can get all of the best records here with us and it is the cheapest shop in the town."
+    refrain = "Oh the river, it is the river, carry me over the bay,\nand carry me home till the end of the day.\n"
+    stuffed = [(phrase + " ") * 20, (phrase + "\n") * 20, (phrase[:-1].lower() + "\n") * 20, PROSE + "\n\n" + (phrase + "\n\n") * 20]
+    fine = [PROSE + "\n\n" + refrain * 5 + "\n" + PROSE.replace("second", "first").replace("coast", "north"), (PROSE + "\n") * 3, PROSE.replace(". ", ".\n") * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(stuffed + fine)] + [(100 + i, PROSE) for i in range(9)], "doc_id long, text string")
+    assert {r["doc_id"] for r in spam.stuffed_pages(df).collect()} == set(range(len(stuffed)))
+
+
 def test_nothing_else_imports_this_folder():
     from pathlib import Path
 

@@ -1,13 +1,14 @@
 """Keyword-stuffed and link-list pages.
 
 Measured over the whole text of every document: the share of its most frequent content word and of its most frequent word pair, the share of
-repeated lines, the share of link text, separators per word, and the share of function words. Thresholds on function words and on the top word
-are calibrated per language over all documents (quantiles of the corpus, one row a language); the language is read off the function words
-themselves, since the stated one may be wrong or missing.
+repeated lines and of repeated runs of words, the share of link text, separators per word, and the share of function words. Thresholds on function words, the top word, the top
+pair, repeated runs of words and repeated lines are calibrated per language over all documents (quantiles of the corpus, one row a language); the language is read off the
+function words themselves, since the stated one may be wrong or missing.
 
 A page is stuffed if the words of its stuffed segments (lines, and sentences within lines) outweigh those of its sentences. A segment is stuffed
 if it is link text, if it lacks function words while separators or missing ends mark it as a list, or if it turns on one of the words that
-dominate the page. Lists that go with writing (tracks with times, personnel, chords, bare sources) weigh on neither side.
+dominate the page. Where the top pair, the repeated runs or the repeated lines pass their threshold, the copies of a much repeated sentence or line are stuffed too, unless
+prose stands beside them, as it does beside a refrain. Lists that go with writing (tracks with times, personnel, chords, bare sources) weigh on neither side.
 """
 
 from __future__ import annotations
@@ -59,6 +60,12 @@ FUNCTION_SHARE = 0.4
 TOP_TIMES, TOP_LEAST, TOP_COUNT = 2.2, 0.085, 4
 #: No word rules a page that has this share of its language's middle in function words.
 RULED = 0.8
+#: A page repeats itself: its top pair has this many times its language's middle share, this at least; or its repeated lines or runs of RUN words
+#: this share, or that of the language's most repeating documents (the quantile), up to a bound.
+PAIR_TIMES, PAIR_LEAST = 4, 0.14
+SAID_LEAST, SAID_QUANTILE, SAID_MOST, RUN = 0.6, 0.95, 0.8, 4
+#: Share of words said less than TOP_COUNT times from which on repetition is a refrain of prose.
+PROSE_BESIDE = 0.25
 #: Separators a word of a list.
 SEPARATORS = 0.2
 #: A link weighs as so many words; text with one for each so many words is link text.
@@ -87,8 +94,8 @@ def served(words: list[str]) -> list[int]:
     return hits
 
 
-def shares(text: str) -> tuple[str, int, float, float, float, float, float, float]:
-    """(language, words, top word, top pair, repeated lines, links, separators, function words): the page's figures."""
+def shares(text: str) -> tuple[str, int, float, float, float, float, float, float, float]:
+    """(language, words, top word, top pair, repeated lines, links, separators, function words, repeated runs): the page's figures."""
     linked = _links(text)
     bare = _LINK.sub(" ", text) if linked else text
     words = _TOKEN.findall(bare.lower())
@@ -99,7 +106,8 @@ def shares(text: str) -> tuple[str, int, float, float, float, float, float, floa
     pairs = Counter(zip(words, words[1:]))
     pair = 2 * pairs.most_common(1)[0][1] / n if pairs else 0.0
     lines = [x.strip().lower() for x in text.split("\n") if x.strip()]
-    return lang, n, top, pair, 1 - len(set(lines)) / len(lines) if lines else 0.0, len(linked) / max(1, n + len(linked)), len(_SEPARATOR.findall(bare)) / max(1, n), sum(w in known for w in words) / n if n else 0.0
+    runs = list(zip(*(words[i:] for i in range(RUN))))
+    return lang, n, top, pair, 1 - len(set(lines)) / len(lines) if lines else 0.0, len(linked) / max(1, n + len(linked)), len(_SEPARATOR.findall(bare)) / max(1, n), sum(w in known for w in words) / n if n else 0.0, 1 - len(set(runs)) / len(runs) if runs else 0.0
 
 
 def _links(text: str) -> list[str]:
@@ -114,8 +122,8 @@ def _beside(line: str) -> bool:
     return line.rstrip()[-4:].strip(")]")[-2:].isdigit() and _TRACK.match(line) is not None and not _links(line)
 
 
-def weigh(text: str, function_least: float, top_least: float, lang: str) -> tuple[float, float]:
-    """(stuffed, sentence) words of a page. A pair of Japanese characters counts as a word; a bare source line too."""
+def weigh(text: str, function_least: float, top_least: float, lang: str, repeating: bool = False) -> tuple[float, float]:
+    """(stuffed, sentence) words of a page; of one that is repeating, copies of sentences and lines are stuffed. A pair of Japanese characters counts as a word; a bare source line too."""
     text = html.unescape(text) if "&" in text else text
     text = _MARKUP.sub("", text) if "<" in text or "*" in text or "_" in text else text
     known = _WORDS.get(lang, _ANY)
@@ -130,6 +138,7 @@ def weigh(text: str, function_least: float, top_least: float, lang: str) -> tupl
     if sum(w in _ANY for w in bare_words) > RULED * function_least / FUNCTION_SHARE * n_all:
         ruling = set()
     stuffed, sentences = float(sources), 0.0
+    said: dict[str, list[float]] = {}
     for paragraph in re.split(r"\n[^\S\n]*\n", "\n".join(lines)):
         kept = []
         for line in paragraph.split("\n"):
@@ -144,6 +153,7 @@ def weigh(text: str, function_least: float, top_least: float, lang: str) -> tupl
             n = len(words) + kana / 2
             if not n and not links:
                 continue
+            before = sentences
             # A tag is several words run together.
             weight = n + LINK_WORDS * links + sum(max(len(_CAMEL.findall(t)), len(t) // 9 + 1) - 1 for t in tags)
             breaks = bare.strip().count("\n")
@@ -166,6 +176,14 @@ def weigh(text: str, function_least: float, top_least: float, lang: str) -> tupl
                     stuffed += weight
                 else:
                     sentences += n / 2
+            if repeating and sentences > before:
+                for line in bare.split("\n"):
+                    if (key := " ".join(_TOKEN.findall(line.lower()))):
+                        said.setdefault(key, []).append((sentences - before) * len(line) / len(bare))
+    copies = sum(sum(w[1:]) for w in said.values() if len(w) >= TOP_COUNT)
+    beside = sum(sum(w) for w in said.values() if len(w) < TOP_COUNT)
+    if beside < PROSE_BESIDE * (stuffed + sentences):
+        stuffed, sentences = stuffed + copies, sentences - copies
     return stuffed, sentences
 
 
@@ -183,12 +201,14 @@ def stuffed_pages(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [shares(t) for t in b.column(0).to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.int32()), (2, pa.float64()), (7, pa.float64()))], ["language", "words", "top_word", "function_words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.int32()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (7, pa.float64()), (8, pa.float64()))], ["language", "words", "top_word", "top_pair", "repeated_lines", "function_words", "repeated_runs"])
 
-    every = df.select(text).mapInArrow(figures, "language string, words int, top_word double, function_words double")
+    every = df.select(text).mapInArrow(figures, "language string, words int, top_word double, top_pair double, repeated_lines double, function_words double, repeated_runs double")
     # Calibration over all documents: one row a language, seven at most.
-    middle = {r[0]: (r[1], r[2]) for r in every.filter("words >= 20").groupBy("language").agg(F.percentile_approx("function_words", 0.5), F.percentile_approx("top_word", 0.5)).collect()}
-    limits = {k: (FUNCTION_SHARE * f, max(TOP_LEAST, min(0.15, TOP_TIMES * t))) for k, (f, t) in middle.items()}
+    figured = [F.percentile_approx(c, q) for c, q in (("function_words", 0.5), ("top_word", 0.5), ("top_pair", 0.5), ("repeated_lines", SAID_QUANTILE), ("repeated_runs", SAID_QUANTILE))]
+    middle = {r[0]: r[1:] for r in every.filter("words >= 20").groupBy("language").agg(*figured).collect()}
+    often = lambda share: max(SAID_LEAST, min(SAID_MOST, share))
+    limits = {k: (FUNCTION_SHARE * f, max(TOP_LEAST, min(0.15, TOP_TIMES * t)), max(PAIR_LEAST, PAIR_TIMES * p), often(m), often(n)) for k, (f, t, p, m, n) in middle.items()}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,13 +216,12 @@ def stuffed_pages(df: DataFrame, id_column: str = "doc_id", text: str = "text",
             for k, t in enumerate(b.column(1).to_pylist()):
                 if not t:
                     continue
-                bare = _LINK.sub(" ", t) if _links(t) else t
-                lang = language(_TOKEN.findall(bare.lower()), bare)
-                least, top = limits.get(lang, (0.1, TOP_LEAST))
-                stuffed, sentences = weigh(t, least, top, lang)
+                page = shares(t)
+                least, top, pair, lines, runs = limits.get(page[0], (0.1, TOP_LEAST, PAIR_LEAST, SAID_LEAST, SAID_LEAST))
+                stuffed, sentences = weigh(t, least, top, page[0], page[3] >= pair or page[4] >= lines or page[8] >= runs)
                 if stuffed >= STUFFED_WORDS and stuffed >= STUFFED_SHARE * (stuffed + sentences):
                     keep.append(k)
-                    rows.append((*shares(t), stuffed / (stuffed + sentences)))
+                    rows.append((*page[:8], stuffed / (stuffed + sentences)))
             arrays = [pa.array([r[i] for r in rows], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[k]) for i, k in enumerate([*types, "double"])]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), *arrays], ["i", *names, "stuffed_share"])
 
