@@ -1,9 +1,9 @@
 """Variant spellings of names typed by people: merge-and-rematch entity resolution.
 
 Every distinct spelling is read into a profile (lead name, initials, kind of ensemble; or piece and its numbers). Profiles that share a blocking
-key are compared exactly; matches merge through the connected-components operator, and a merged profile holds the union of its members'
-spellings, given names and initials. The merged profiles re-enter blocking with all their keys, and what one spelling could not settle (an
-initial, a missing first name) is matched against the richer profiles, until a round merges nothing.
+key are compared exactly; matches merge through the connected-components operator. Merging changes the entity alone: each round compares the same
+single spellings, and of an entity only the set of its members' full first names is united. By this set, what one spelling could not settle (an
+initial, a missing first name) is placed anew, until a round merges nothing or MAX_ROUNDS are over. Titles have one round.
 
 Blocking keys are the one-letter-deletion forms of a name's rare words and of the ends of its rare part, so two spellings within one edit in any
 word, or two edits in all, share one. Words of more than 1 / COMMON_SHARE of all names are no key by themselves; there are at most that many times
