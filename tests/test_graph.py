@@ -121,3 +121,22 @@ def test_vector_marks_of_an_artist_of_many_rows(spark):
     assert len(want) > 100 and any(a < "840" for a, _ in want)
     for block in (2_000, 100):
         assert {(r[0], r[1]) for r in vector_marks(df, block=block).collect()} == want
+
+
+def test_vector_marks_of_survivors_by_normal_artist(spark, tmp_path):
+    from vecstrand.queries import QUERIES
+
+    def row(n, artist, key, day, angle, version=4):
+        v = np.zeros(64)
+        v[:2] = np.cos(angle), np.sin(angle)
+        return (n, "A Title", artist, key, None, None, f"2026-01-{day:02d}", None, version, bytearray(np.rint(v * 127).astype(np.int8).tobytes()), 0.1)
+
+    rows = [
+        row("a", "Renée Ostrand", "x|1", 1, 0.0), row("b", "renee ostrand feat. Someone", "x|2", 2, 0.02), row("c", "RENEE  OSTRAND", "x|3", 3, 1.0),
+        # d falls in the key pass, so e, near d alone, is no duplicate; f has no stored key.
+        row("d", "Renée Ostrand", "x|1", 4, 0.5), row("e", "Renée Ostrand", "x|5", 5, 0.5), row("f", "Renee Ostrand", None, 6, 1.01),
+        row("g", "Another One", "y|1", 7, 0.0), row("h", "Renée Ostrand", "x|8", 1, 1.0, 3),
+    ]
+    schema = "track_id string, title string, artist string, dedupe_key string, feel array<double>, rhythm struct<tempo_bpm double>, analyzed_at string, duplicate_of string, features_version int, embedding binary, scale float"
+    spark.createDataFrame(rows, schema).withColumn("analyzed_at", F.col("analyzed_at").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/tracks.parquet")
+    assert {(r[0], r[1]) for r in QUERIES["corpus_vector_marks"](spark, str(tmp_path)).collect()} == {("b", "a"), ("f", "c")}

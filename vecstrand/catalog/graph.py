@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecstrand.catalog.rank import SEED
+from vecstrand.functions.text import dedupe_key_column, normal_artist_column
 from vecstrand.operators import corpus as C
 from vecstrand.operators import dedupe as D
 from vecstrand.operators import graph as G
 from vecstrand.operators import project as P
 from vecstrand.operators import rank as R
 from vecstrand.operators import stats as S
-from vecstrand.sources.tables import table
+from vecstrand.sources.tables import live, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,3 +149,14 @@ def vector_marks(spark, d):
     """The vector pass: near duplicates within an artist, greedily, oldest first."""
     m = C.matrix(table(spark, d, "tracks")).filter("artist IS NOT NULL").withColumn("at", F.coalesce("analyzed_at", F.lit("1970-01-01").cast("timestamp_ntz")))
     return D.vector_marks(m.select("artist", "track_id", "at", "vec"))
+
+
+@query()
+def corpus_vector_marks(spark, d):
+    """The vector pass over the survivors of the key pass, within an artist however typed."""
+    tracks = table(spark, d, "tracks")
+    at = F.coalesce("analyzed_at", F.lit("1970-01-01").cast("timestamp_ntz"))
+    key = F.coalesce(F.nullif("dedupe_key", F.lit("")), dedupe_key_column(F.col("title"), F.col("artist")))
+    kept = live(tracks).groupBy(key.alias("key")).agg(F.min(F.struct(at.alias("at"), "track_id"))["track_id"].alias("track_id"))
+    m = C.matrix(tracks).join(kept.select("track_id"), "track_id", "left_semi")
+    return D.vector_marks(m.select(normal_artist_column(F.col("artist")).alias("artist"), "track_id", at.alias("at"), "vec"))
