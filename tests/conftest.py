@@ -40,8 +40,10 @@ def duck(data):
 def _text(v):
     if isinstance(v, (list, tuple)) or type(v).__name__ == "ndarray":
         return "[" + ",".join(map(_text, v)) + "]"
-    if v is None or v != v:
+    if v is None:
         return "null"
+    if isinstance(v, (bytes, bytearray)):
+        return bytes(v).hex()
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
     if isinstance(v, float) or type(v).__name__.startswith("float"):
@@ -63,6 +65,6 @@ def same(spark, data, duck):
         cur = duck.execute(sql)
         names, rows = [c[0] for c in cur.description], cur.fetchall()
         assert sorted(df.columns) == sorted(names)
-        assert canon(df.columns, [tuple(r) for r in df.toPandas().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)]) == canon(names, rows)
+        assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(names, rows)
 
     return check

@@ -145,13 +145,13 @@ def feel_round(spark, d):
     return _tracks(spark, d).filter(F.col("feel").isNotNull() & ~F.exists("feel", lambda x: F.isnan(x))).select("track_id", F.transform("feel", lambda x: F.round(x, 4)).alias("feel"))
 
 
-@query("SELECT track_id, rhythm.tempo_bpm AS tempo_bpm, rhythm.key AS key, rhythm.mode AS mode FROM tracks WHERE rhythm IS NOT NULL AND (rhythm.tempo_bpm IS NOT NULL OR rhythm.beat_strength IS NOT NULL OR rhythm.loudness_lufs IS NOT NULL OR rhythm.loudness_range IS NOT NULL OR rhythm.key IS NOT NULL OR rhythm.mode IS NOT NULL OR rhythm.key_strength IS NOT NULL)")
+@query("SELECT track_id, CASE WHEN NOT isnan(rhythm.tempo_bpm) THEN rhythm.tempo_bpm END AS tempo_bpm, rhythm.key AS key, rhythm.mode AS mode FROM tracks WHERE rhythm IS NOT NULL AND (rhythm.tempo_bpm IS NOT NULL OR rhythm.beat_strength IS NOT NULL OR rhythm.loudness_lufs IS NOT NULL OR rhythm.loudness_range IS NOT NULL OR rhythm.key IS NOT NULL OR rhythm.mode IS NOT NULL OR rhythm.key_strength IS NOT NULL)")
 def rhythm_fields(spark, d):
-    """Rhythm narrowed to its seven keys; a struct of nothing but nulls is none."""
+    """Rhythm narrowed to its keys; a struct of nothing but nulls is none, and a tempo that is no number is null."""
     some = F.lit(False)
     for k in C.RHYTHM_KEYS:
         some = some | F.col("rhythm")[k].isNotNull()
-    return _tracks(spark, d).filter(F.col("rhythm").isNotNull() & some).select("track_id", F.col("rhythm.tempo_bpm"), F.col("rhythm.key").alias("key"), F.col("rhythm.mode").alias("mode"))
+    return _tracks(spark, d).filter(F.col("rhythm").isNotNull() & some).select("track_id", F.nullif(F.col("rhythm.tempo_bpm"), F.lit(float("nan"))).alias("tempo_bpm"), F.col("rhythm.key").alias("key"), F.col("rhythm.mode").alias("mode"))
 
 
 @query("SELECT track_id, 'https://play.test/preview/' || track_id AS preview_url FROM tracks")

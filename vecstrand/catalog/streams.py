@@ -95,18 +95,18 @@ def _stream(spark, d):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
-    return S.run(S.tumbling(_stream(spark, d)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return S.run(S.tumbling(_stream(spark, d), late=None), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) - h * INTERVAL 1 HOUR AS start, count(*) AS n FROM events, range(0, 2) t(h) GROUP BY 1")
 def stream_sliding(spark, d):
-    return S.run(S.sliding(_stream(spark, d)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return S.run(S.sliding(_stream(spark, d), late=None), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, d):
-    done = S.run(S.sessions(_stream(spark, d)), "complete")
+    done = S.run(S.sessions(_stream(spark, d), late=None), "complete")
     return done.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"), "n")
 
 
@@ -114,10 +114,10 @@ def stream_session(spark, d):
 def stream_dedupe(spark, d):
     """Events once each, though the stream may deliver them twice."""
     e = _stream(spark, d)
-    return S.run(S.first_seen(e.unionByName(e), ["event_id"])).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return S.run(S.first_seen(e.unionByName(e), ["event_id"], late=None)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events),
   l AS (SELECT user_id, event_type, g, count(*) AS n FROM r GROUP BY ALL) SELECT user_id, sum(n)::BIGINT AS n, max(n) AS longest FROM l GROUP BY user_id""")
 def stream_state(spark, d):
-    return S.run(S.tallies(_stream(spark, d)), "update")
+    return S.run(S.tallies(_stream(spark, d)), "update", ["user_id"])

@@ -95,5 +95,3 @@ def text_search(tracks: DataFrame, needle: str) -> DataFrame:
     return tracks.filter(F.contains(F.lower("title"), F.lit(lower)) | F.contains(F.lower("artist"), F.lit(lower)) | F.contains(F.lower("album"), F.lit(lower)))
 
 
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)

@@ -19,6 +19,8 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="vecstrand-"))
             atexit.register(shutil.rmtree, _own[0], True)
@@ -39,14 +41,11 @@ class Scratch:
         self._paths: dict[int, str] = {}
         self._n = 0
 
-    def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._vecstrand_path = path
         return out
@@ -58,5 +57,9 @@ class Scratch:
             if path and path.startswith(self.root):
                 _remove(self.spark, path)
 
+    def exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
     def clear(self) -> None:
         _remove(self.spark, self.root)
