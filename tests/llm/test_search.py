@@ -44,6 +44,26 @@ def test_one_vector_of_a_third_of_all_rows(spark):
     assert {b for a, b in got if a == "t0079"} == {f"t{i:04d}" for i in range(5)}
 
 
+def test_vectors_without_clusters(spark):
+    """Nearest vectors far apart: the radius grows until it holds them, if need be over a whole table."""
+    x = np.random.default_rng(4).standard_normal((1500, 16))
+    x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    ids = [f"t{i:04d}" for i in range(len(x))]
+    got, want = asked(spark, ids, x), brute(ids, x)
+    assert len(got) == len(set(got)) == 5 * len(ids)
+    assert len(set(got) & want) >= 0.95 * len(want)
+
+
+def test_radii_sum_to_their_credits(monkeypatch):
+    x = clusters(400).astype(np.float32)
+    codes = neighbours.Codes(x / np.linalg.norm(x, axis=1, keepdims=True), 100_000)
+    need = codes.credits(np.array([1.0, 0.99, 0.9, 0.5, -np.inf]))
+    radii = codes.radii(need, np.arange(5))
+    for n, r in zip(need, radii):
+        assert (r + 1).sum() == (n if n else codes.s + 1)
+    assert need[-1] == 0 and (np.diff(codes.radius) >= 0).all()
+
+
 def test_large_buckets_are_worked_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MAX_BUCKET", 16)
     x = clusters(160, spread=0.2)
