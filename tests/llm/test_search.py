@@ -154,6 +154,81 @@ def test_variant_pairs_against_all_pairs(spark, data):
     assert direct <= got
 
 
+def typo(word, rng):
+    letters, i = list(word), rng.randrange(len(word))
+    kind, c = rng.randrange(4), rng.choice("aeioubdfghklmnprstvz")
+    if kind == 0:
+        letters[i] = c
+    elif kind == 1:
+        letters.insert(i, c)
+    elif kind == 2 and len(word) > 1:
+        del letters[i]
+    elif len(word) > 1:
+        i = min(i, len(word) - 2)
+        letters[i], letters[i + 1] = letters[i + 1], letters[i]
+    return "".join(letters)
+
+
+def test_keys_meet_every_match():
+    """Names and titles of all lengths with two random edits: whatever the rules accept has a key in common."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("aeioubdfghklmnprstvz") for _ in range(n))
+    met = {"artist": 0, "title": 0}
+    for _ in range(6_000):
+        g, s = rng.choice(["", "m", "samuel", "samuel samantha", word(rng.randrange(2, 9))]), word(rng.randrange(2, 24))
+        h, t = (typo(g, rng) if len(g) > 1 and rng.random() < 0.2 else g[:1] if rng.random() < 0.2 else g), typo(typo(s, rng), rng)
+        if rng.random() < 0.1:
+            h, t = "", typo(g + s, rng)
+        a, b = (g, "", s, ""), (h, "", t, "")
+        pairs = [("artist", a, b)]
+        x = " ".join(word(rng.randrange(1, 10)) for _ in range(rng.randrange(1, 5)))
+        y = typo(typo(x, rng), rng).strip() if rng.random() < 0.7 else " ".join(reversed(x.split()))
+        pairs.append(("title", (x, " ".join(sorted(x.split())), "3"), (y, " ".join(sorted(y.split())), "3")))
+        for field, p, q in pairs:
+            if names._MATCH[field](p, q, True):
+                met[field] += 1
+                assert len(np.intersect1d(names.blocking_keys(field, p), names.blocking_keys(field, q))), (p, q)
+    assert min(met.values()) > 1_000
+
+
+def test_artist_pairs_against_all_pairs(spark, data):
+    """Every two spellings that the rule calls the same are in one entity."""
+    tracks = spark.read.parquet(f"{data}/tracks.parquet")
+    entity = {r["name"]: r["entity"] for r in names.resolve(spark, tracks.select(F.col("artist").alias("name")), "artist").collect()}
+    nodes = {n: names.read_artist(n) for n in entity}
+    for a, b in itertools.combinations(sorted(entity), 2):
+        if names.artist_match(nodes[a], nodes[b]) == "same":
+            assert entity[a] == entity[b], (a, b)
+
+
+def test_first_names():
+    artist = lambda a, b: names.artist_match(names.read_artist(a), names.read_artist(b))
+    assert not artist("Martin Smithers", "Martina Smithers") and not artist("Paul Joneson", "Paula Joneson")
+    assert artist("Sam Okaforu", "Samuel Okaforu") == artist("Sam Okaforu", "Samantha Okaforu") == "weak" and not artist("Samuel Okaforu", "Samantha Okaforu")
+    assert artist("Okaforu Samuel", "Samuel Okaforu") == "same" and artist("Rob Okaforu", "Bob Okaforu") == "same"
+
+
+def test_merged_profiles_are_matched_again(spark):
+    """L. Tudibovar is Leonard by his entity, and so meets the spelling that runs both together; a letter leaves two namesakes apart."""
+    rows = ["Leonard Tudibovarin", "L. Tudibovarim", "leonardtudibovarims", "Anthony T. Vorodalunek", "Anthony Vorodalunek", "Anthony R. Vorodalunek", "Lttrs to Gorigo Wikiwe", "Letters to Gorigo Wikiwe"]
+    df = spark.createDataFrame([(r,) for r in rows], "name string")
+    got = {r["name"]: r["entity"] for r in names.resolve(spark, df, "artist").collect()}
+    assert got["Leonard Tudibovarin"] == got["L. Tudibovarim"] == got["leonardtudibovarims"]
+    assert got["Anthony T. Vorodalunek"] != got["Anthony R. Vorodalunek"]
+
+
+def test_large_name_groups_are_worked_in_blocks(spark, monkeypatch):
+    rows = [f"{g} Vorodalunek{e}" for g in ("Anna", "Bertil", "Carla", "Dmitri", "Esther") for e in ("", "a", "e", "i", "o")]
+    df = spark.createDataFrame([(r,) for r in rows], "name string")
+    whole = {r["name"]: r["entity"] for r in names.resolve(spark, df, "artist").collect()}
+    monkeypatch.setattr(names, "UNIT", 4)
+    blocks = {r["name"]: r["entity"] for r in names.resolve(spark, df, "artist").collect()}
+    groups = lambda m: {frozenset(n for n in m if m[n] == e) for e in m.values()}
+    assert groups(whole) == groups(blocks) and len(set(whole.values())) == 5
+
+
 def test_distance():
     assert names.distance("abcd", "abdc", 2) == 1 and names.distance("abc", "xyz", 2) == 3 and names.distance("", "ab", 2) == 2 and names.distance("kitten", "sitting", 3) == 3
 

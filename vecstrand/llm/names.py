@@ -1,51 +1,68 @@
 """Variant spellings of names typed by people: merge-and-rematch entity resolution.
 
-Every distinct spelling is read into a profile (lead name, initials, kind of ensemble; or piece and its numbers). Profiles that share a blocking
-key are compared exactly; matches merge through the connected-components operator. Merging changes the entity alone: each round compares the same
-single spellings, and of an entity only the set of its members' full first names is united. By this set, what one spelling could not settle (an
-initial, a missing first name) is placed anew, until a round merges nothing or MAX_ROUNDS are over. Titles have one round.
-
-Blocking keys are the one-letter-deletion forms of a name's rare words and of the ends of its rare part, so two spellings within one edit in any
-word, or two edits in all, share one. Words of more than 1 / COMMON_SHARE of all names are no key by themselves; there are at most that many times
-the words of a name, so the list that reaches the executors is bounded. A key's group is compared inside one task in blocks and only matches
-leave it.
+Every distinct spelling is read into a profile (first names, initials, surname, kind of ensemble; or words and numbers of a piece). Profiles that
+share a blocking key are compared once, exactly. What matches merges through the connected-components operator; a profile that leaves something
+open (no first name, an initial, a short form of several names, no middle initial) joins an entity only if it fits no second one, judged by the
+union of the entity's first names and initials. Merging makes richer profiles: a member that lacks a first name or middle initial takes the
+entity's, a title the words that most members of its entity have at each place. Only these new profiles re-enter blocking and are compared with
+all. Rounds go on until none is new and nothing merges; more than MAX_ROUNDS are an error.
+
+Blocking meets every pair that the rules accept: keys are hashes of a text with up to two letters left out, which two texts within two edits always
+share (a swap of neighbours is one edit). Texts of over LONG letters give the same for their last letters, and with two edits there the first letters are
+as they were: their keys are the end with one letter left out, or the beginning with the end less two letters. No key depends on how often a word
+occurs or on the size of the corpus. Keys travel as two numbers; a key's profiles are paired as a sorted stream, and those of a key with more than
+UNIT in pairs of blocks, all of them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecstrand.functions.text import ARTIST_CUTS, fold, normal_artist, normal_title, without_edition
 from vecstrand.llm.components import connected_components
 from vecstrand.plans.durable import Scratch
+from vecstrand.plans.skew import join_unique
 
-#: A word in more than max(COMMON_LEAST, 1 / COMMON_SHARE of the names) is common.
-COMMON_SHARE, COMMON_LEAST = 400, 24
-#: Names of one key that are compared in one unit; a larger group is worked in pairs of blocks, all of them.
+#: Profiles of one key that are paired as they pass; a larger group is worked in pairs of blocks of that many.
 UNIT = 256
-MAX_ROUNDS = 6
-
-# Short forms of first names.
+#: Rounds are few, as each needs new profiles; this only stops a defect.
+MAX_ROUNDS = 40
+#: Texts of up to SHORT letters have keys of the whole; those of over LONG letters (two fewer, so that lengths may differ) have keys of their ends.
+LONG, SHORT = 15, 17
+#: Letters of an end, and of the beginning beside it.
+END, START = 9, 5
+#: Of two first names that differ by a vowel at the end, one is a slip only if so many times fewer surnames have it; and a profile without middle
+#: initial joins one of several entities only if that has so many times more spellings than the next.
+RARER, LARGER = 8, 4
+
+# Short forms and the first names they stand for.
 NICKNAMES = {
-    "abby": "abigail", "al": "alexander", "alex": "alexander", "alec": "alexander", "lex": "alexander", "sandy": "alexander", "andy": "andrew", "drew": "andrew", "toni": "anthony", "tony": "anthony",
-    "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "charlie": "charles", "chuck": "charles", "chas": "charles", "chris": "christopher", "dan": "daniel", "danny": "daniel",
-    "dave": "david", "davy": "david", "debbie": "deborah", "dot": "dorothy", "dottie": "dorothy", "dolly": "dorothy", "dodie": "dorothy", "ed": "edward", "eddie": "edward", "eddy": "edward", "ned": "edward",
-    "beth": "elizabeth", "betty": "elizabeth", "bess": "elizabeth", "eliza": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "lisa": "elizabeth", "libby": "elizabeth", "frank": "francis", "frankie": "francis", "fran": "francis",
-    "fred": "frederick", "freddie": "frederick", "freddy": "frederick", "gabby": "gabriela", "gabi": "gabriela", "greg": "gregory", "hal": "henry", "harry": "henry", "jim": "james", "jimmy": "james", "jamie": "james",
-    "jeff": "jeffrey", "jack": "john", "johnny": "john", "joe": "joseph", "joey": "joseph", "jo": "joseph", "kate": "katherine", "katie": "katherine", "kathy": "katherine", "kat": "katherine", "kit": "katherine", "kitty": "katherine", "kath": "katherine",
-    "len": "leonard", "lenny": "leonard", "leo": "leonard", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "marge": "margaret", "margie": "margaret", "greta": "greta", "matt": "matthew",
-    "mick": "michael", "mickey": "michael", "mike": "michael", "mikey": "michael", "nick": "nicholas", "nicky": "nicholas", "nico": "nicholas", "pat": "patricia", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "pete": "peter",
-    "dick": "richard", "rich": "richard", "richie": "richard", "rick": "richard", "ricky": "richard", "bob": "robert", "bobby": "robert", "rob": "robert", "robbie": "robert", "sam": "samantha", "sammy": "samantha",
-    "steve": "stephen", "sue": "susannah", "susie": "susannah", "suzie": "susannah", "susan": "susannah", "ted": "theodore", "teddy": "theodore", "theo": "theodore", "tim": "timothy", "tom": "thomas", "tommy": "thomas",
-    "tori": "victoria", "vicki": "victoria", "vicky": "victoria", "vic": "victoria", "wally": "walter", "walt": "walter", "bill": "william", "billy": "william", "liam": "william", "will": "william", "willie": "william", "willy": "william",
+    "abby": "abigail", "al": "alan albert alexander alfred", "alec": "alexander", "alex": "alexander alexandra", "andy": "andrew", "ant": "anthony", "art": "arthur", "barb": "barbara", "bart": "bartholomew",
+    "becky": "rebecca", "ben": "benjamin benedict", "benji": "benjamin", "benny": "benjamin", "bernie": "bernard", "bert": "albert herbert robert", "bess": "elizabeth", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "bill": "william",
+    "billy": "william", "bob": "robert", "bobby": "robert", "brad": "bradley", "carrie": "caroline", "cathy": "catherine", "chas": "charles", "charlie": "charles charlotte", "chris": "christopher christine christina", "chuck": "charles", "cindy": "cynthia",
+    "clem": "clement", "connie": "constance", "dan": "daniel", "danny": "daniel", "dave": "david", "davy": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "dodie": "dorothy", "dolly": "dorothy", "don": "donald",
+    "dora": "dorothy", "dot": "dorothy", "dottie": "dorothy", "doug": "douglas", "drew": "andrew", "ed": "edward edmund edwin", "eddie": "edward edmund edwin", "eddy": "edward", "eliza": "elizabeth", "ellie": "eleanor", "fran": "francis frances",
+    "frank": "francis franklin", "frankie": "francis", "fred": "frederick alfred", "freddie": "frederick", "freddy": "frederick", "gabby": "gabriela gabriel", "gabe": "gabriel", "gabi": "gabriela gabriel", "gene": "eugene", "geoff": "geoffrey", "ginny": "virginia", "greg": "gregory",
+    "gus": "august gustav", "hal": "henry harold", "hank": "henry", "harry": "henry harold", "jack": "john", "jackie": "jacqueline", "jake": "jacob", "jamie": "james", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jerry": "gerald jerome",
+    "jess": "jessica", "jim": "james", "jimmy": "james", "jo": "joseph josephine joanna", "joe": "joseph", "joey": "joseph", "johnny": "john", "jon": "jonathan", "josh": "joshua", "josie": "josephine", "kat": "katherine", "kate": "katherine", "kath": "katherine",
+    "kathy": "katherine", "katie": "katherine", "ken": "kenneth", "kit": "katherine christopher", "kitty": "katherine", "larry": "lawrence", "len": "leonard", "lenny": "leonard", "leo": "leonard leopold", "lex": "alexander", "lib": "elizabeth", "libby": "elizabeth", "liz": "elizabeth",
+    "lizzie": "elizabeth", "lou": "louis louise", "maddie": "madeleine", "madge": "margaret", "maggie": "margaret", "mandy": "amanda", "marge": "margaret", "margie": "margaret", "matt": "matthew", "max": "maximilian", "meg": "margaret", "mel": "melanie melvin", "mick": "michael", "mickey": "michael",
+    "mike": "michael", "mikey": "michael", "mitch": "mitchell", "molly": "mary", "nan": "nancy anne", "nat": "nathaniel natalie", "nate": "nathan nathaniel", "ned": "edward", "nell": "eleanor", "nick": "nicholas", "nicky": "nicholas nicole", "nico": "nicholas", "nora": "eleanor", "pam": "pamela", "pat": "patricia patrick",
+    "patty": "patricia", "peg": "margaret", "peggy": "margaret", "penny": "penelope", "pete": "peter", "phil": "philip", "polly": "mary", "ray": "raymond", "rich": "richard", "richie": "richard", "rick": "richard", "ricky": "richard", "rob": "robert", "robbie": "robert",
+    "ron": "ronald", "ronnie": "ronald veronica", "russ": "russell", "sally": "sarah", "sam": "samuel samantha", "sammy": "samuel samantha", "sandy": "alexander alexandra sandra", "sid": "sidney", "stan": "stanley", "steph": "stephanie", "steve": "stephen", "sue": "susannah susan", "susie": "susannah susan", "suzie": "susannah susan",
+    "ted": "theodore edward", "teddy": "theodore edward", "terry": "terence theresa", "theo": "theodore", "tim": "timothy", "timmy": "timothy", "toby": "tobias", "tom": "thomas", "tommy": "thomas", "toni": "anthony antonia", "tony": "anthony", "tori": "victoria", "tricia": "patricia", "trish": "patricia",
+    "val": "valerie", "vic": "victor victoria", "vicki": "victoria", "vicky": "victoria", "vince": "vincent", "wally": "walter wallace", "walt": "walter", "wes": "wesley", "will": "william", "willie": "william", "willy": "william", "zach": "zachary", "zack": "zachary",
 }
+_KNOWN = frozenset(NICKNAMES) | frozenset(n for v in NICKNAMES.values() for n in v.split())
 # Kinds of ensemble and the ways to write them.
 ENSEMBLES = {
     "trio": ("trio", "3o", "3tet", "tr"), "quartet": ("quartet", "quartett", "quartette", "qt", "qtet", "qrt", "4tet"), "quintet": ("quintet", "quintett", "quintette", "qnt", "5tet"), "sextet": ("sextet", "6tet"),
@@ -127,7 +144,8 @@ def _kind(tokens: list[str]) -> tuple[list[str], str]:
 
 
 def read_artist(raw: str | None) -> tuple[str, str, str, str] | None:
-    """(given, middle initials, surname, ensemble) of the lead artist; given is a full first name, one letter or nothing. None if nothing is named."""
+    """(given, middle initials, surname, ensemble) of the lead artist; given is a first name, several that a short form may stand for, one letter or
+    nothing. None if nothing is named."""
     text = _clean(raw or "").strip()
     low = text.lower()
     at = min((i for cut in ARTIST_CUTS if cut != ", " and (i := low.find(cut)) > 0), default=len(text))
@@ -156,43 +174,55 @@ def read_artist(raw: str | None) -> tuple[str, str, str, str] | None:
     given, middle = tokens[0], [t for t in tokens[1:-1]]
     initials = "".join(t for t in middle if len(t) == 1)
     rest = [t for t in middle if len(t) > 1]
-    given = NICKNAMES.get(given, given)
-    return plain(given) if len(given) > 1 else given, initials, "".join(plain(t) for t in [*rest, tokens[-1]]), kind
+    given = NICKNAMES.get(given) or (plain(given) if len(given) > 1 else given)
+    return given, initials, "".join(plain(t) for t in [*rest, tokens[-1]]), kind
+
+
+def is_full(given: str) -> bool:
+    """One first name, rather than none, a letter or a short form of several."""
+    return len(given) > 1 and " " not in given
+
+
+def _kin(a: str, b: str) -> bool:
+    """Two names of which one is the other with a vowel at its end, as Paul and Paula."""
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and b.startswith(a) and b[-1] in "aeio"
 
 
-def given_cost(a: str, b: str) -> int:
-    """0 equal or not told apart, n edits, 9 different."""
+def given_cost(a: str, b: str, slip: bool = False) -> int:
+    """0 equal or not told apart, n edits, 9 different. Names that differ by a vowel at the end are different unless that is known to be a slip."""
     if a == b:
         return 0
     if len(a) < 2 or len(b) < 2:
-        return 0 if not a or not b or a[0] == b[0] else 9
-    if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)):
-        return 0
+        return 0 if not a or not b or any(x[0] == y[0] for x in a.split() for y in b.split()) else 9
+    if " " in a or " " in b:
+        return min(given_cost(x, y, slip) for x in a.split() for y in b.split())
+    if not slip and _kin(a, b):
+        return 9
     d = near(a, b, 2)
     return d if d < 1 or d == 1 and min(len(a), len(b)) >= 4 or d == 2 and min(len(a), len(b)) >= 7 else 9
 
 
-def artist_match(a: tuple, b: tuple) -> str:
-    """"same", "weak" (the same but for a first name that one of them lacks or shortens) or ""."""
+def surname_edits(length: int) -> int:
+    return 2 if length >= 7 else 1 if length >= 4 else 0
+
+
+def artist_match(a: tuple, b: tuple, slip: bool = False) -> str:
+    """"same", "weak" (the same but for a first name or middle initial that one of them leaves open) or ""."""
     (g, m, s, k), (h, n, t, q) = a, b
-    if k != q:
-        # A run-together spelling may hide the ensemble or the first name; only the whole then compares.
+    if k != q or m and n and m != n:
         return ""
-    if m and n and m != n:
-        return ""
-    most = 2 if min(len(s), len(t)) >= 7 else 1 if min(len(s), len(t)) >= 4 else 0
+    most = surname_edits(min(len(s), len(t)))
     d = near(s, t, most)
     if d <= most:
-        c = given_cost(g, h)
-        if c + d <= 2:
-            return "same" if len(g) > 1 and len(h) > 1 or g == h else "weak"
-        return ""
-    if not g or not h:
+        if given_cost(g, h, slip) + d > 2:
+            return ""
+        return "same" if (is_full(g) and is_full(h) or g == h) and m == n else "weak"
+    if (not g or not h) and len(g) + len(h) > 1 and " " not in g + h and min(len(g + s), len(h + t)) >= 9 and near(g + s, h + t, 1) <= 1:
         # "leonardtudibow": the first name run into the surname.
-        whole, other = g + s, h + t
-        if len(whole) >= 10 and len(g) + len(h) > 1 and near(whole, other, 1) <= 1:
-            return "same"
-    return ""
+        return "same"
+    # "Okafor Samuel": the parts typed the other way round, where only one order begins with a known first name.
+    return "same" if g == t and s == h and len(g) > 1 and (g in _KNOWN) != (h in _KNOWN) and m == n else ""
 
 
 def read_title(raw: str | None) -> tuple[str, str, str] | None:
@@ -226,21 +256,28 @@ def _shortened(a: str, b: str) -> bool:
     return (b.startswith(a) or not set("aeiou") & set(a[1:])) and all(c in at for c in a)
 
 
-def title_match(a: tuple, b: tuple) -> str:
+def title_edits(length: int) -> int:
+    return 2 if length >= 9 else 1 if length >= 5 else 0
+
+
+def _run(words: str) -> str:
+    return words.replace(" ", "").removeprefix("the")
+
+
+def title_match(a: tuple, b: tuple, slip: bool = False) -> str:
+    """"same" if the numbers are equal and the words are within two edits, the same in another order (within one edit), or one is abbreviated."""
     (x, sx, n), (y, sy, m) = a, b
     if n != m:
         return ""
-    u, v = x.replace(" ", "").removeprefix("the"), y.replace(" ", "").removeprefix("the")
-    most = 2 if min(len(u), len(v)) >= 9 else 1 if min(len(u), len(v)) >= 5 else 0
-    if near(u, v, most) <= most or sx == sy or sx != x and near(sx.replace(" ", ""), sy.replace(" ", ""), most) <= most or sy != y and near(sx.replace(" ", ""), sy.replace(" ", ""), most) <= most:
+    u, v = _run(x), _run(y)
+    most = title_edits(min(len(u), len(v)))
+    if near(u, v, most) <= most or (sx != x or sy != y) and near(sx.replace(" ", ""), sy.replace(" ", ""), min(most, 1)) <= min(most, 1):
         return "same"
     p, q = x.split(), y.split()
     if len(p) == len(q) and len(p) > 1:
-        short = [_shortened(a, b) for a, b in zip(p, q)]
-        if any(short) and not all(short):
-            d = sum(0 if s or a == b else distance(a, b, 2) for s, a, b in zip(short, p, q))
-            if d <= 1 and sum(len(a) for s, a in zip(short, p) if not s) >= 5:
-                return "same"
+        other = [i for i in range(len(p)) if sound(p[i]) != sound(q[i])]
+        if len(other) == 1 and _shortened(p[other[0]], q[other[0]]) and len(u) - len(p[other[0]]) >= 5:
+            return "same"
     return ""
 
 
@@ -256,31 +293,79 @@ def same_lead_artist(a: str | None, b: str | None) -> bool:
     if a == b:
         return _read_artist(a) is not None
     x, y = _read_artist(a), _read_artist(b)
-    return x is not None and y is not None and artist_match(x, y) != ""
+    return x is not None and y is not None and artist_match(x, y, slip=True) != ""
 
 
-def deletions(word: str) -> set[str]:
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4_096, _BASE)]), dtype=np.uint64)
+_LETTERS = np.random.default_rng(3).integers(1, 2**63, 65_536).astype(np.uint64)
 
 
-def _ends(whole: str) -> set[str]:
-    back = whole[::-1]
-    return {f"<{k}" for k in {whole[:6]} | deletions(whole[:7]) if len(k) == 6} | {f">{k}" for k in {back[:6]} | deletions(back[:7]) if len(k) == 6}
+def _number(text: str) -> np.uint64:
+    raw = text.encode("utf-8", "surrogatepass")
+    return np.uint64(zlib.crc32(raw) << 32 | zlib.crc32(b"+" + raw[::-1]))
 
 
-def blocking_keys(field: str, node: tuple, common: frozenset[str]) -> set[str]:
-    if field == "artist":
-        return {k for s in {node[2], sound(node[2])} for k in _ends(s) | ({f"={d}" for d in deletions(s)} if len(s) < 9 else set())}
-    return _title_keys(node[0].split(), common) | _title_keys([sound(w) for w in node[0].split()], common)
+@lru_cache(256)
+def _two(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
 
 
-def _title_keys(words: list[str], common: frozenset[str]) -> set[str]:
-    rare = [w for w in words if w not in common]
-    if not rare:
-        return {f"!{k}" for k in deletions("".join(words))}
-    out = {f"={k}" for w in rare if len(w) > 3 for k in deletions(w)}
-    joined = "".join(rare)
-    return out | (_ends(joined) if len(joined) > 6 else {f"={k}" for k in deletions(joined)})
+def _less(text: str, out: int) -> np.ndarray:
+    """Hashes of the text with exactly so many (0, 1, 2) letters left out."""
+    c, n = _LETTERS[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)], 0
+    n = len(c)
+    if n < out or n > 4_000:
+        return np.array([_number(text)], np.uint64)  # beyond any name: only equal texts meet
+    ahead = np.zeros(n + 1, np.uint64)  # hash of the first i letters
+    for i in range(n):
+        ahead[i + 1] = ahead[i] * _BASE + c[i]
+    back = np.concatenate([np.cumsum((c * _POWERS[n - 1 :: -1][:n])[::-1])[::-1], np.zeros(1, np.uint64)])  # of the letters from i on
+    if out == 0:
+        return ahead[-1:]
+    if out == 1:
+        i = np.arange(n)
+        return ahead[i] * _POWERS[n - 1 - i] + back[i + 1]
+    i, j = _two(n)
+    between = ahead[j] - ahead[i + 1] * _POWERS[j - i - 1]
+    return ahead[i] * _POWERS[n - 2 - i] + between * _POWERS[n - 1 - j] + back[j + 1]
+
+
+def edit_keys(text: str, edits: int) -> np.ndarray:
+    """Numbers of which two texts within so many edits (at most 2) share at least one, if neither asks for fewer edits than are between them."""
+    n, keys = len(text), []
+    if n <= SHORT or edits < 2:
+        keys += [_less(text, out) + np.uint64(0x51ED) * np.uint64(n - out) for out in range(min(edits, n) + 1)]
+    if n > LONG and edits == 2:
+        keys.append(_less(text[-END - 1 :], 1) ^ np.uint64(0xA5A5))
+        keys.append(_less(text[-END - 2 :], 2) ^ _number("^" + text[:START]))
+    return np.unique(np.concatenate(keys))
+
+
+def _forms(text: str) -> set[str]:
+    return {text, sound(text)}
+
+
+@np.errstate(over="ignore")
+def blocking_keys(field: str, node: tuple) -> np.ndarray:
+    """Keys, as numbers, of which two profiles that match have at least one in common."""
+    out = []
+    if field == "artist":
+        g, _, s, kind = node
+        out += [edit_keys(x, surname_edits(len(s))) ^ _number("s" + kind) for x in _forms(s)]
+        if len(g + s) >= 9 and " " not in g:
+            out += [edit_keys(x, 1) ^ _number("w" + kind) for x in _forms(g + s)]
+        if len(g) > 1:
+            out.append(np.array([_number("o" + kind + "|".join(sorted((g, s))))]))
+    else:
+        x, sx, numbers = node
+        u = _run(x)
+        out += [edit_keys(y, title_edits(len(u))) ^ _number("t" + numbers) for y in _forms(u)]
+        out += [edit_keys(y, min(1, title_edits(len(u)))) ^ _number("p" + numbers) for y in _forms(sx.replace(" ", ""))]
+        words = [sound(w) for w in x.split()]
+        if len(words) > 1:
+            out.append(np.array([_number(f"a{numbers}|{w[:1]}|" + " ".join([*words[:i], "*", *words[i + 1 :]])) for i, w in enumerate(words)], np.uint64))
+    return np.unique(np.concatenate(out)).view(np.int64)
 
 
 _READ = {"artist": read_artist, "title": read_title}
@@ -301,69 +386,158 @@ def _profiles(names: DataFrame, field: str) -> DataFrame:
     return names.mapInArrow(run, "name string, form string, node string")
 
 
-def _matches(nodes: DataFrame, field: str, common: frozenset[str]) -> DataFrame:
-    """nodes(node, entity) -> (a, b, ea, eb, kind): matching profiles of different entities that share a key."""
-    match = _MATCH[field]
+def _keyed(nodes: DataFrame, field: str) -> DataFrame:
+    """nodes(z, node, ...) -> (key, z)."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ns, es = [], [], []
-            for n, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k in blocking_keys(field, tuple(n.split(_SEP)), common):
-                    keys.append(k)
-                    ns.append(n)
-                    es.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (keys, ns, es)], ["key", "node", "entity"])
-
-    posted = nodes.select("node", "entity").mapInArrow(keyed, "key string, node string, entity string")
-    sizes = posted.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities")).filter(F.col("entities") > 1)
-    blocks = F.ceil(F.col("n") / UNIT).cast("int")
-    split = posted.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("a", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    units = split.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", F.least("a", "b") * F.col("blocks") + F.greatest("a", "b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, held = None, []
-
-        def flush() -> None:
-            read = [(n, e, a, tuple(n.split(_SEP))) for n, e, a in held]
-            crossed = len({a for _, _, a, _ in read}) > 1
-            for i, (n, e, a, p) in enumerate(read):
-                for m, f, b, q in read[:i]:
-                    if e != f and not (crossed and a == b) and (kind := match(p, q)):
-                        out.append((n, m, e, f, kind))
+            for at in range(0, b.num_rows, 2_000):
+                z = b.column(0).slice(at, 2_000).to_numpy()
+                keys = [blocking_keys(field, tuple(n.split(_SEP))) for n in b.column(1).slice(at, 2_000).to_pylist()]
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(z, [len(k) for k in keys]))], ["key", "z"])
 
-        for batch in batches:
-            for k, u, n, e, a in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (k, u) != key:
-                    flush()
-                    key, held = (k, u), []
-                held.append((n, e, a))
-            if len(out) > 20_000:
-                yield _rows(out)
-                out = []
-        flush()
-        yield _rows(out)
+    return nodes.select("z", "node").mapInArrow(run, "key long, z long")
 
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], ["na", "nb", "ea", "eb", "kind"])
 
-    laid = units.select("key", "unit", "node", "entity", "a").repartition("key", "unit").sortWithinPartitions("key", "unit")
-    return laid.mapInArrow(compare, "na string, nb string, ea string, eb string, kind string").distinct()
+def _candidates(posted: DataFrame, scratch: Scratch) -> DataFrame:
+    """posted(key, z) -> (a, b), a < b: every two profiles with a common key, once."""
 
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by key. (a, b, hot): pairs of a group of up to UNIT; of a larger one its rows, as (key, z)."""
+        key, held, hot = None, [], False
+        left, right, large = [], [], []
 
-def _common_words(nodes: DataFrame, field: str) -> frozenset[str]:
-    if field == "artist":
-        return frozenset()
-    n = nodes.count()
-    words = nodes.select(F.explode(F.array_distinct(F.split(F.substring_index("node", _SEP, 1), " "))).alias("w"))
-    often = [r[0] for r in words.groupBy("w").count().filter(F.col("count") > max(COMMON_LEAST, n // COMMON_SHARE)).select("w").collect()]
-    return frozenset(often) | frozenset(map(sound, often))
+        def close() -> None:
+            if not hot and len(held) > 1:
+                zs = np.unique(np.array(held))
+                i, j = _two(len(zs))
+                left.append(zs[i])
+                right.append(zs[j])
 
+        def out(a: list, b: list, flag: bool) -> pa.RecordBatch:
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), flag))], ["a", "b", "hot"])
 
-def _full(node: Column) -> Column:
-    """A first name of more than a letter; nothing for titles, whose profiles have none."""
-    return F.when(F.length(F.substring_index(node, _SEP, 1)) > 1, F.substring_index(node, _SEP, 1))
+        for batch in batches:
+            ks, zs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(ks[1:] != ks[:-1]) + 1).tolist(), len(ks)] if len(ks) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if ks[x] != key:
+                    close()
+                    key, held, hot = ks[x], [], False
+                elif y - x == 1 and not hot and len(held) < UNIT:
+                    held.append(zs[x])
+                    continue
+                if hot or len(held) + y - x > UNIT:
+                    rows = np.concatenate([np.array(held, np.int64), zs[x:y]])
+                    held, hot = [], True
+                    large.append((np.full(len(rows), key), rows))
+                else:
+                    held += zs[x:y].tolist()
+            if sum(map(len, left)) > 100_000:
+                yield out(left, right, False)
+                left.clear(), right.clear()
+            if large:
+                yield out([k for k, _ in large], [z for _, z in large], True)
+                large = []
+        close()
+        if left:
+            yield out(left, right, False)
+
+    met = scratch.save(posted.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long, hot boolean").distinct())
+    pairs = met.filter("NOT hot").select("a", "b")
+    hot = met.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("z"))
+    if not hot.isEmpty():
+        sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
+        laid = hot.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("z"), F.col("blocks").cast("long")).cast("int"))
+        # Each row meets each block once, in the unit of the two blocks.
+        units = laid.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"), "z", "at")
+        one, two = (units.select("key", "x", "y", F.col("z").alias(n), F.col("at").alias(f"at_{n}")) for n in "ab")
+        crossed = one.join(two, ["key", "x", "y"]).filter((F.col("a") < F.col("b")) & ((F.col("at_a") != F.col("at_b")) | (F.col("x") == F.col("y"))))
+        pairs = pairs.unionByName(crossed.select("a", "b")).distinct()
+    return pairs
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
+    """(a, b, kind) of the pairs that match. Each pair is compared once."""
+    match, artist = _MATCH[field], field == "artist"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, kinds = [], []
+            for i, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))):
+                p, q = x.split(_SEP), y.split(_SEP)
+                slip = artist and max(n, m) >= RARER * min(n, m)
+                if kind := match(tuple(p), tuple(q), slip):
+                    keep.append(i)
+                    kinds.append(kind)
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kinds, pa.string())], ["a", "b", "kind"])
+
+    sides = [nodes.select(F.col("z").alias(x), F.col("node").alias(f"n{x}"), F.col("borne").alias(f"c{x}")) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, kind string")
+
+
+def _part(node: Column, i: int) -> Column:
+    return F.element_at(F.split(node, _SEP, -1), i)
+
+
+def _borne(nodes: DataFrame, field: str) -> DataFrame:
+    """nodes(z, node) with borne: how many surnames a first name is beside (1 for pieces)."""
+    if field != "artist":
+        return nodes.withColumn("borne", F.lit(1).cast("long"))
+    counts = nodes.select(_part(F.col("node"), 1).alias("given"), _part(F.col("node"), 3).alias("surname")).distinct().groupBy("given").agg(F.count("*").alias("borne"))
+    return join_unique(nodes.withColumn("given", _part(F.col("node"), 1)), counts, "given").select("z", "node", "borne")
+
+
+def _entity_links(members: DataFrame, pairs: DataFrame, field: str) -> DataFrame:
+    """(left, right): entities to merge. members(z, node, entity), pairs(a, b, kind)."""
+    one, two = (members.select(F.col("z").alias(x), F.col("entity").alias(f"e{x}")) for x in "ab")
+    met = pairs.join(one, "a").join(two, "b").filter(F.col("ea") != F.col("eb")).select("ea", "eb", "kind").distinct()
+    same = met.filter("kind = 'same'").select(F.col("ea").alias("left"), F.col("eb").alias("right"))
+    if field != "artist":
+        return same
+    given, middle = _part(F.col("node"), 1), _part(F.col("node"), 2)
+    full = (F.length(given) > 1) & (F.instr(given, " ") == 0)
+    known = members.groupBy("entity").agg(F.max(full).alias("named"), F.max(middle != "").alias("lettered"), F.count("*").alias("spellings"))
+    weak = met.filter("kind = 'weak'").select("ea", "eb")
+    both = weak.unionByName(weak.select(F.col("eb").alias("ea"), F.col("ea").alias("eb"))).distinct()
+    sides = [known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]) for x in "ab"]
+    fits = both.join(sides[0], F.col("ea") == F.col("entity_a")).join(sides[1], F.col("eb") == F.col("entity_b"))
+    # Without a first name: to the one entity that has one and fits.
+    poor = fits.filter("NOT named_a AND named_b").groupBy("ea").agg(F.min("eb").alias("eb"), F.count("*").alias("n"))
+    # With one, but without a middle initial: to the one that has one, or that has most spellings by far.
+    ranked = fits.filter("named_a = named_b AND NOT lettered_a AND lettered_b").withColumn("r", F.row_number().over(Window.partitionBy("ea").orderBy(F.desc("spellings_b"), "eb")))
+    bare = ranked.filter("r <= 2").groupBy("ea").agg(F.min_by("eb", "r").alias("eb"), F.max("spellings_b").alias("most"), F.when(F.count("*") > 1, F.min("spellings_b")).alias("next"))
+    bare = bare.filter(F.col("next").isNull() | (F.col("most") >= LARGER * F.col("next")))
+    settled = poor.select(F.col("ea").alias("e"))
+    loose = fits.filter("NOT named_a AND NOT named_b AND lettered_a = lettered_b AND ea < eb")
+    alone = loose.join(settled.withColumnRenamed("e", "ea"), "ea", "left_anti").join(settled.withColumnRenamed("e", "eb"), "eb", "left_anti")
+    links = [x.select(F.col("ea").alias("left"), F.col("eb").alias("right")) for x in (poor.filter("n = 1"), bare.join(poor.select("ea"), "ea", "left_anti"), alone)]
+    return reduce(DataFrame.unionByName, links, same)
+
+
+def _richer(members: DataFrame, changed: DataFrame, field: str) -> DataFrame:
+    """(node, entity): the profiles that the changed entities' unions make, of which some may be there already."""
+    own = members.join(changed, "entity", "left_semi")
+    if field == "artist":
+        given, middle = _part(F.col("node"), 1), _part(F.col("node"), 2)
+        full = (F.length(given) > 1) & (F.instr(given, " ") == 0)
+        names = own.filter(full).groupBy("entity", given.alias("given")).agg(F.count("*").alias("n")).groupBy("entity").agg(F.max_by("given", F.struct("n", "given")).alias("name"))
+        letters = own.filter(middle != "").groupBy("entity").agg(F.collect_set(middle).alias("m")).filter(F.size("m") == 1).select("entity", F.col("m")[0].alias("letters"))
+        open_ = own.filter(~full | (middle == "")).join(names, "entity").join(letters, "entity", "left")
+        node = F.concat_ws(_SEP, F.when(full, given).otherwise(F.col("name")), F.when(middle == "", F.coalesce("letters", F.lit(""))).otherwise(middle), _part(F.col("node"), 3), _part(F.col("node"), 4))
+        return open_.select(node.alias("node"), "entity").distinct()
+    words = own.select("entity", _part(F.col("node"), 3).alias("numbers"), F.split(_part(F.col("node"), 1), " ").alias("words"))
+    # Places are compared among the members whose words have the first letters, in order, that most of them have.
+    words = words.withColumn("heads", F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), ""))
+    common = words.groupBy("entity", "heads").agg(F.count("*").alias("c")).groupBy("entity").agg(F.max_by("heads", F.struct("c", "heads")).alias("heads"))
+    placed = words.join(common, ["entity", "heads"]).select("entity", "numbers", F.posexplode("words").alias("at", "word"))
+    best = placed.groupBy("entity", "numbers", "at", "word").agg(F.count("*").alias("c")).groupBy("entity", "numbers", "at").agg(F.max_by("word", F.struct("c", F.length("word"), "word")).alias("word"))
+    lists = best.groupBy("entity", "numbers").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]).alias("w"))
+    node = F.concat_ws(_SEP, F.array_join("w", " "), F.array_join(F.array_sort("w"), " "), F.col("numbers"))
+    return lists.select(node.alias("node"), "entity")
 
 
 def resolve(spark: SparkSession, names: DataFrame, field: str, scratch: Scratch | None = None) -> DataFrame:
@@ -371,40 +545,59 @@ def resolve(spark: SparkSession, names: DataFrame, field: str, scratch: Scratch
 
     field is "artist" or "title". Defined cases: null, empty and blank names, names without a letter or digit of the Latin script and generic
     titles name nothing and are absent; repeated names count once; a name that matches no other is an entity by itself; an empty table gives no
-    rows. A profile that lacks a first name, or has only its initial, joins an entity only if it fits no second one.
+    rows. A profile that leaves something open joins an entity only if it fits no second one.
     """
     scratch = scratch or Scratch(spark, f"names-{field}")
     typed = scratch.save(_profiles(names.select("name").filter(F.col("name").isNotNull()).distinct(), field))
-    nodes = scratch.save(typed.select("node").distinct().withColumn("entity", F.col("node")))
-    common = _common_words(nodes, field)
-    for _ in range(MAX_ROUNDS):
-        found = scratch.save(_matches(nodes, field, common))
-        links = found.filter("kind = 'same'").select(F.col("ea").alias("left"), F.col("eb").alias("right"))
-        if field == "artist":
-            # A profile without a full first name goes to the one entity that it fits, judged by the entity's union of first names.
-            given = nodes.groupBy("entity").agg(F.collect_set(_full(F.col("node"))).alias("given"))
-            both = found.filter("kind = 'weak'").select("ea", "eb").unionByName(found.filter("kind = 'weak'").select(F.col("eb").alias("ea"), F.col("ea").alias("eb"))).distinct()
-            poor = both.join(given.filter(F.size("given") == 0).select(F.col("entity").alias("ea")), "ea").join(given.filter(F.size("given") > 0).select(F.col("entity").alias("eb")), "eb")
-            single = poor.groupBy("ea").agg(F.min("eb").alias("eb"), F.count("*").alias("n")).filter("n = 1")
-            alone = both.join(given.filter(F.size("given") == 0).select(F.col("entity").alias("ea")), "ea").join(given.filter(F.size("given") == 0).select(F.col("entity").alias("eb")), "eb").join(poor.select("ea").distinct(), "ea", "left_anti").join(poor.select(F.col("ea").alias("eb")).distinct(), "eb", "left_anti")
-            links = links.unionByName(single.select(F.col("ea").alias("left"), F.col("eb").alias("right"))).unionByName(alone.select(F.col("ea").alias("left"), F.col("eb").alias("right")))
-        merged = scratch.save(connected_components(spark, links))
-        if merged.isEmpty():
+    numbered = scratch.save(typed.select("node").distinct().withColumn("z", F.monotonically_increasing_id()))
+    nodes = scratch.save(_borne(numbered, field))
+    members = scratch.save(nodes.select("z", "node", F.col("z").alias("entity")))
+    pairs = scratch.save(_compared(_candidates(_keyed(nodes, field), scratch), nodes, field))
+    for number in range(1, MAX_ROUNDS + 1):
+        before = members
+        for _ in range(MAX_ROUNDS):
+            merged = scratch.save(connected_components(spark, _entity_links(members, pairs, field)))
+            if merged.isEmpty():
+                break
+            members = scratch.save(members.join(merged.select(F.col("node").alias("entity"), "component"), "entity", "left").select("z", "node", F.coalesce("component", "entity").alias("entity")))
+        else:
+            raise RuntimeError(f"entities still merge after {MAX_ROUNDS} steps")
+        if members is before:
             break
-        after = scratch.save(nodes.join(merged.select(F.col("node").alias("entity"), "component"), "entity", "left").select("node", F.coalesce("component", "entity").alias("entity")))
-        scratch.free(found, nodes)
-        nodes = after
-        if field == "title":
-            break  # a title's profile gains nothing by merging: one round of comparisons has met every pair of spellings
-    return typed.join(nodes, "node").select("name", "form", "entity")
+        changed = members.join(before.select("z", F.col("entity").alias("was")), "z").groupBy("entity").agg(F.count_distinct("was").alias("n")).filter("n > 1").select("entity")
+        new = _richer(members, changed, field).join(members.select("node").distinct(), "node", "left_anti")
+        # A profile that two entities come to share is new to both: it goes to the first, and the comparison of equal profiles joins them.
+        new = scratch.save(new.groupBy("node").agg(F.min("entity").alias("entity")).withColumn("z", F.monotonically_increasing_id() + (number << 56)))
+        if new.isEmpty():
+            break
+        borne = nodes.select(_part(F.col("node"), 1).alias("given"), "borne").distinct() if field == "artist" else None
+        fresh = new.select("z", "node", F.lit(1).cast("long").alias("borne")) if borne is None else new.withColumn("given", _part(F.col("node"), 1)).join(borne, "given", "left").select("z", "node", F.coalesce("borne", F.lit(1).cast("long")).alias("borne"))
+        fresh = scratch.save(fresh)
+        asked = scratch.save(_keyed(fresh, field))
+        # Of all others only what shares a key with a new profile; few new keys travel to the others' keys, many meet them in a shuffle.
+        posted = _keyed(nodes, field).join(asked.select("key").distinct(), "key", "left_semi").unionByName(asked)
+        nodes = scratch.save(nodes.unionByName(fresh))
+        found = _candidates(posted, scratch)
+        late = fresh.select("z")
+        with_new = found.join(late.withColumnRenamed("z", "a"), "a", "left_semi").unionByName(found.join(late.withColumnRenamed("z", "b"), "b", "left_semi")).distinct()
+        pairs = scratch.save(pairs.unionByName(_compared(with_new, nodes, field)))
+        members = scratch.save(members.unionByName(new.select("z", "node", "entity")))
+    else:
+        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+    return typed.join(members.select("node", "entity"), "node").select("name", "form", "entity")
 
 
 def variant_pairs(spark: SparkSession, tracks: DataFrame) -> DataFrame:
-    """(field, name_a, name_b): different stored strings of one lead artist or one piece whose normalized forms differ."""
+    """(field, name_a, name_b): different stored strings of one lead artist or one piece whose normalized forms differ.
+
+    Normalized forms are paired within their entity, then expanded to the strings of each, so the shuffle's key is the form, not the entity."""
     out = None
     for field in ("artist", "title"):
-        known = resolve(spark, tracks.select(F.col(field).alias("name")), field)
-        a, b = (known.select("entity", F.col("name").alias(f"name_{x}"), F.col("form").alias(f"form_{x}")) for x in "ab")
-        pairs = a.join(b, "entity").filter((F.col("name_a") < F.col("name_b")) & (F.col("form_a") != F.col("form_b"))).select(F.lit(field).alias("field"), "name_a", "name_b")
+        scratch = Scratch(spark, f"variants-{field}")
+        known = scratch.save(resolve(spark, tracks.select(F.col(field).alias("name")), field, scratch))
+        forms = known.select("entity", "form").distinct()
+        met = forms.withColumnRenamed("form", "fa").join(forms.withColumnRenamed("form", "fb"), "entity").filter(F.col("fa") < F.col("fb"))
+        one, two = (known.select("entity", F.col("form").alias(f"f{x}"), F.col("name").alias(x)) for x in "ab")
+        pairs = met.join(one, ["entity", "fa"]).join(two, ["entity", "fb"]).select(F.lit(field).alias("field"), F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"))
         out = pairs if out is None else out.unionByName(pairs)
     return out
