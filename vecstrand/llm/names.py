@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -246,11 +247,17 @@ def read_title(raw: str | None) -> tuple[str, str, str] | None:
     return " ".join(words), " ".join(sorted(words)), ".".join(numbers)
 
 
+def _heads(word: str) -> set[str]:
+    """First letter and what an abbreviation goes on with: the second letter or the next consonant."""
+    after = next((c for c in word[1:] if c not in "aeiou"), "")
+    return {word[0] + word[1:2], word[0] + after}
+
+
 def _shortened(a: str, b: str) -> bool:
     """One word abbreviates the other: its start, or its first letter and some later ones in order, mostly consonants."""
     if len(a) > len(b):
         a, b = b, a
-    if len(a) < 2 or len(b) < len(a) + 2 or a[0] != b[0]:
+    if len(a) < 2 or len(b) < len(a) + 2 or not _heads(a) & _heads(b):
         return False
     at = iter(b)
     return (b.startswith(a) or not set("aeiou") & set(a[1:])) and all(c in at for c in a)
@@ -265,18 +272,26 @@ def _run(words: str) -> str:
 
 
 def title_match(a: tuple, b: tuple, slip: bool = False) -> str:
-    """"same" if the numbers are equal and the words are within two edits, the same in another order (within one edit), or one is abbreviated."""
-    (x, sx, n), (y, sy, m) = a, b
+    """"same" if the numbers are equal and the words are within two edits as they run on, or the same in any order but for one that has one edit
+    or is abbreviated in its place."""
+    (x, _, n), (y, _, m) = a, b
     if n != m:
         return ""
     u, v = _run(x), _run(y)
     most = title_edits(min(len(u), len(v)))
-    if near(u, v, most) <= most or (sx != x or sy != y) and near(sx.replace(" ", ""), sy.replace(" ", ""), min(most, 1)) <= min(most, 1):
+    if near(u, v, most) <= most:
         return "same"
-    p, q = x.split(), y.split()
-    if len(p) == len(q) and len(p) > 1:
-        other = [i for i in range(len(p)) if sound(p[i]) != sound(q[i])]
-        if len(other) == 1 and _shortened(p[other[0]], q[other[0]]) and len(u) - len(p[other[0]]) >= 5:
+    p, q = [sound(w) for w in x.split()], [sound(w) for w in y.split()]
+    if len(p) != len(q) or len(p) < 2:
+        return ""
+    if sorted(p) == sorted(q):
+        return "same"
+    over, under = list((Counter(p) - Counter(q)).elements()), list((Counter(q) - Counter(p)).elements())
+    if len(over) == 1:
+        w, t = over[0], under[0]
+        if min(len(w), len(t)) >= 5 and distance(w, t, 1) <= 1:
+            return "same"
+        if p.index(w) == q.index(t) and len(u) - len(w) >= 5 and len(v) - len(t) >= 5 and [k for k in p if k != w] == [k for k in q if k != t] and _shortened(w, t):
             return "same"
     return ""
 
@@ -311,35 +326,39 @@ def _two(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def _less(text: str, out: int) -> np.ndarray:
-    """Hashes of the text with exactly so many (0, 1, 2) letters left out."""
-    c, n = _LETTERS[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)], 0
-    n = len(c)
-    if n < out or n > 4_000:
-        return np.array([_number(text)], np.uint64)  # beyond any name: only equal texts meet
-    ahead = np.zeros(n + 1, np.uint64)  # hash of the first i letters
+def _less(c: np.ndarray, out: int) -> np.ndarray:
+    """For texts of one length, a row of letters each: hashes of what is left without so many (0, 1, 2) letters, one column a choice."""
+    n = c.shape[1]
+    ahead = np.zeros((len(c), n + 1), np.uint64)  # hash of the first i letters
     for i in range(n):
-        ahead[i + 1] = ahead[i] * _BASE + c[i]
-    back = np.concatenate([np.cumsum((c * _POWERS[n - 1 :: -1][:n])[::-1])[::-1], np.zeros(1, np.uint64)])  # of the letters from i on
+        ahead[:, i + 1] = ahead[:, i] * _BASE + c[:, i]
     if out == 0:
-        return ahead[-1:]
+        return ahead[:, -1:]
+    back = np.zeros((len(c), n + 1), np.uint64)  # of the letters from i on
+    for i in range(n - 1, -1, -1):
+        back[:, i] = c[:, i] * _POWERS[n - 1 - i] + back[:, i + 1]
     if out == 1:
         i = np.arange(n)
-        return ahead[i] * _POWERS[n - 1 - i] + back[i + 1]
+        return ahead[:, i] * _POWERS[n - 1 - i] + back[:, i + 1]
     i, j = _two(n)
-    between = ahead[j] - ahead[i + 1] * _POWERS[j - i - 1]
-    return ahead[i] * _POWERS[n - 2 - i] + between * _POWERS[n - 1 - j] + back[j + 1]
-
-
-def edit_keys(text: str, edits: int) -> np.ndarray:
-    """Numbers of which two texts within so many edits (at most 2) share at least one, if neither asks for fewer edits than are between them."""
-    n, keys = len(text), []
+    between = ahead[:, j] - ahead[:, i + 1] * _POWERS[j - i - 1]
+    return ahead[:, i] * _POWERS[n - 2 - i] + between * _POWERS[n - 1 - j] + back[:, j + 1]
+
+
+def edit_keys(texts: list[str], edits: int) -> np.ndarray:
+    """For texts of one length, a row each: numbers of which two texts within so many edits (at most 2) share at least one, if neither asks for
+    fewer edits than are between them."""
+    n = len(texts[0])
+    if n > 4_000:
+        return np.array([[_number(t)] for t in texts], np.uint64)  # longer than any name: only equal texts meet
+    c = _LETTERS[np.array([[min(ord(x), 65_535) for x in t] for t in texts], np.int64).reshape(len(texts), n)]
+    keys = []
     if n <= SHORT or edits < 2:
-        keys += [_less(text, out) + np.uint64(0x51ED) * np.uint64(n - out) for out in range(min(edits, n) + 1)]
+        keys += [_less(c, out) + np.uint64(0x51ED) * np.uint64(n - out) for out in range(min(edits, n) + 1)]
     if n > LONG and edits == 2:
-        keys.append(_less(text[-END - 1 :], 1) ^ np.uint64(0xA5A5))
-        keys.append(_less(text[-END - 2 :], 2) ^ _number("^" + text[:START]))
-    return np.unique(np.concatenate(keys))
+        keys.append(_less(c[:, -END - 1 :], 1) ^ np.uint64(0xA5A5))
+        keys.append(_less(c[:, -END - 2 :], 2) ^ _less(c[:, :START], 0) * _BASE)
+    return np.hstack(keys)
 
 
 def _forms(text: str) -> set[str]:
@@ -347,25 +366,47 @@ def _forms(text: str) -> set[str]:
 
 
 @np.errstate(over="ignore")
-def blocking_keys(field: str, node: tuple) -> np.ndarray:
-    """Keys, as numbers, of which two profiles that match have at least one in common."""
-    out = []
-    if field == "artist":
-        g, _, s, kind = node
-        out += [edit_keys(x, surname_edits(len(s))) ^ _number("s" + kind) for x in _forms(s)]
-        if len(g + s) >= 9 and " " not in g:
-            out += [edit_keys(x, 1) ^ _number("w" + kind) for x in _forms(g + s)]
-        if len(g) > 1:
-            out.append(np.array([_number("o" + kind + "|".join(sorted((g, s))))]))
-    else:
-        x, sx, numbers = node
-        u = _run(x)
-        out += [edit_keys(y, title_edits(len(u))) ^ _number("t" + numbers) for y in _forms(u)]
-        out += [edit_keys(y, min(1, title_edits(len(u)))) ^ _number("p" + numbers) for y in _forms(sx.replace(" ", ""))]
-        words = [sound(w) for w in x.split()]
-        if len(words) > 1:
-            out.append(np.array([_number(f"a{numbers}|{w[:1]}|" + " ".join([*words[:i], "*", *words[i + 1 :]])) for i, w in enumerate(words)], np.uint64))
-    return np.unique(np.concatenate(out)).view(np.int64)
+def blocking_keys(field: str, nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys as numbers, whose they are): two profiles that match have at least one key in common."""
+    texts: dict[tuple[int, int], list[tuple[int, str, int]]] = {}
+    plain_keys: list[tuple[int, int]] = []
+
+    def add(row: int, text: str, edits: int, kind: str) -> None:
+        texts.setdefault((len(text), edits), []).append((row, text, int(_number(kind))))
+
+    for row, node in enumerate(nodes):
+        if field == "artist":
+            g, _, s, kind = node
+            for x in _forms(s):
+                add(row, x, surname_edits(len(s)), "s" + kind)
+            if len(g + s) >= 9 and " " not in g:
+                for x in _forms(g + s):
+                    add(row, x, 1, "w" + kind)
+            if len(g) > 1:
+                plain_keys.append((row, int(_number("o" + kind + "|".join(sorted((g, s)))))))
+        else:
+            x, _, numbers = node
+            u = _run(x)
+            for y in _forms(u):
+                add(row, y, title_edits(len(u)), "t" + numbers)
+            words = [sound(w) for w in x.split()]
+            if len(words) > 1:
+                ranked = sorted(words)
+                plain_keys.append((row, int(_number(f"p{numbers}|" + " ".join(ranked)))))
+                for i, w in enumerate(ranked):
+                    if len(w) >= 5 and (i == 0 or ranked[i - 1] != w):
+                        # One edit leaves the first two letters or the last two as they were.
+                        rest = " ".join([*ranked[:i], *ranked[i + 1 :]])
+                        plain_keys += [(row, int(_number(f"{end}{numbers}|{part}|{rest}"))) for end, part in (("b", w[:2]), ("e", w[-2:]))]
+                for i, w in enumerate(words):
+                    rest = " ".join([*words[:i], "*", *words[i + 1 :]])
+                    plain_keys += [(row, int(_number(f"a{numbers}|{h}|{rest}"))) for h in _heads(w)]
+    keys, rows = [np.array([k for _, k in plain_keys], np.uint64)], [np.array([r for r, _ in plain_keys], np.int64)]
+    for (_, edits), some in texts.items():
+        found = edit_keys([t for _, t, _ in some], edits) ^ np.array([k for _, _, k in some], np.uint64)[:, None]
+        keys.append(found.ravel())
+        rows.append(np.repeat([r for r, _, _ in some], found.shape[1]))
+    return np.concatenate(keys).view(np.int64), np.concatenate(rows)
 
 
 _READ = {"artist": read_artist, "title": read_title}
@@ -392,10 +433,9 @@ def _keyed(nodes: DataFrame, field: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2_000):
-                z = b.column(0).slice(at, 2_000).to_numpy()
-                keys = [blocking_keys(field, tuple(n.split(_SEP))) for n in b.column(1).slice(at, 2_000).to_pylist()]
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(z, [len(k) for k in keys]))], ["key", "z"])
+                part = b.slice(at, 2_000)
+                keys, rows = blocking_keys(field, [tuple(n.split(_SEP)) for n in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part.column(0).to_numpy()[rows])], ["key", "z"])
 
     return nodes.select("z", "node").mapInArrow(run, "key long, z long")
 
