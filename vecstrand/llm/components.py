@@ -23,26 +23,42 @@ def _stats(edges: DataFrame) -> tuple[int, int]:
     return n, int(h or 0)
 
 
+def _seen(edges: DataFrame, large: bool) -> DataFrame:
+    """Large star looks at both directions of every edge, small star from the greater end only."""
+    seen = edges.select(F.col("u").alias("n"), F.col("v").alias("w"))
+    return seen.unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("w"))) if large else seen
+
+
+def _moved(met: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """Every neighbour (of the greater ones only, in large star) to the node's least one; in small star the node itself too."""
+    moved = met.select(F.col("w").alias("u"), F.col("m").alias("v"))
+    if not large:
+        moved = moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
+    return moved.filter(F.col("u") != F.col("v")).distinct()
+
+
 def _star(edges: DataFrame, count: int, scratch: Scratch, large: bool) -> DataFrame:
-    """One rewrite. Large star looks at both directions of every edge and moves greater neighbours to the least one seen; small star looks from
-    the greater end only and moves the node and its lesser neighbours there. A hub's least neighbour meets its edges by broadcast."""
-    if large:
-        seen = edges.select(F.col("u").alias("n"), F.col("v").alias("w")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("w")))
-        rows = 2 * count
-    else:
-        seen, rows = edges.select(F.col("u").alias("n"), F.col("v").alias("w")), count
+    """One rewrite: large star moves greater neighbours to the least one seen; small star moves the node and its lesser neighbours there. A hub's
+    least neighbour meets its edges by broadcast."""
+    seen, rows = _seen(edges, large), 2 * count if large else count
     least = scratch.save(seen.groupBy("n").agg(F.least(F.col("n"), F.min("w")).alias("m"), F.count("*").alias("c")))
     bound = max(HEAVY_ROWS, int(rows * HEAVY_SHARE))
     heavy = [r[0] for r in least.filter(F.col("c") > bound).select("n").collect()] if rows > bound else []
     met = join_unique(seen.filter(F.col("w") > F.col("n")) if large else seen, least.select("n", "m"), "n", heavy=heavy)
-    moved = met.select(F.col("w").alias("u"), F.col("m").alias("v"))
-    if not large:
-        moved = moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
-    out = scratch.save(moved.filter(F.col("u") != F.col("v")).distinct())
+    out = scratch.save(_moved(met, least, large))
     scratch.free(least)
     return out
 
 
+def _both_stars(edges: DataFrame) -> DataFrame:
+    """Both rewrites as one plan, where no hub can be heavy."""
+    for large in (True, False):
+        seen = _seen(edges, large)
+        least = seen.groupBy("n").agg(F.least(F.col("n"), F.min("w")).alias("m"))
+        edges = _moved((seen.filter(F.col("w") > F.col("n")) if large else seen).join(least, "n"), least, large)
+    return edges
+
+
 def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """links(left, right) -> (node, component): every node of a link between two different nodes, with the least node it reaches.
 
@@ -56,9 +72,13 @@ def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch
     for _ in range(MAX_ROUNDS):
         if not stats[0]:
             break
-        wide = _star(edges, stats[0], scratch, large=True)
-        narrow = _star(wide, stats[0], scratch, large=False)
-        scratch.free(edges, wide)
+        if 2 * stats[0] <= HEAVY_ROWS:
+            narrow = scratch.save(_both_stars(edges))
+            scratch.free(edges)
+        else:
+            wide = _star(edges, stats[0], scratch, large=True)
+            narrow = _star(wide, stats[0], scratch, large=False)
+            scratch.free(edges, wide)
         edges, before = narrow, stats
         stats = _stats(edges)
         if stats == before:
@@ -75,8 +95,6 @@ def mark_links(tracks: DataFrame) -> DataFrame:
     return join_unique(marks, there, "right", "left_semi").select("left", "right")
 
 
-
-
 def keyed(df: DataFrame) -> DataFrame:
     """Rows whose stored key names a recording: text before and after the (first) pipe."""
     key = F.col("dedupe_key")

@@ -25,7 +25,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecstrand.functions.text import ARTIST_CUTS, fold, normal_artist, normal_title, without_edition
@@ -42,7 +42,7 @@ LONG, SHORT = 15, 17
 #: Letters of an end, and of the beginning beside it.
 END, START = 9, 5
 #: Of two first names that differ by a vowel at the end, one is a slip only if so many times fewer surnames have it; and a profile without middle
-#: initial joins one of several entities only if that has so many times more spellings than the next.
+#: initial joins one of several entities only if that has so many times more spellings than the others together.
 RARER, LARGER = 8, 4
 
 # Short forms and the first names they stand for.
@@ -531,31 +531,35 @@ def _borne(nodes: DataFrame, field: str) -> DataFrame:
     return join_unique(nodes.withColumn("given", _part(F.col("node"), 1)), counts, "given").select("z", "node", "borne")
 
 
-def _entity_links(members: DataFrame, pairs: DataFrame, field: str) -> DataFrame:
+def _entity_links(members: DataFrame, pairs: DataFrame, field: str, scratch: Scratch) -> DataFrame:
     """(left, right): entities to merge. members(z, node, entity), pairs(a, b, kind)."""
     one, two = (members.select(F.col("z").alias(x), F.col("entity").alias(f"e{x}")) for x in "ab")
     met = pairs.join(one, "a").join(two, "b").filter(F.col("ea") != F.col("eb")).select("ea", "eb", "kind").distinct()
-    same = met.filter("kind = 'same'").select(F.col("ea").alias("left"), F.col("eb").alias("right"))
     if field != "artist":
-        return same
+        return met.select(F.col("ea").alias("left"), F.col("eb").alias("right"))
+    met = scratch.save(met)
     given, middle = _part(F.col("node"), 1), _part(F.col("node"), 2)
     full = (F.length(given) > 1) & (F.instr(given, " ") == 0)
-    known = members.groupBy("entity").agg(F.max(full).alias("named"), F.max(middle != "").alias("lettered"), F.count("*").alias("spellings"))
+    known = scratch.save(members.groupBy("entity").agg(F.max(full).alias("named"), F.max(middle != "").alias("lettered"), F.count("*").alias("spellings")))
     weak = met.filter("kind = 'weak'").select("ea", "eb")
     both = weak.unionByName(weak.select(F.col("eb").alias("ea"), F.col("ea").alias("eb"))).distinct()
     sides = [known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]) for x in "ab"]
-    fits = both.join(sides[0], F.col("ea") == F.col("entity_a")).join(sides[1], F.col("eb") == F.col("entity_b"))
-    # Without a first name: to the one entity that has one and fits.
-    poor = fits.filter("NOT named_a AND named_b").groupBy("ea").agg(F.min("eb").alias("eb"), F.count("*").alias("n"))
-    # With one, but without a middle initial: to the one that has one, or that has most spellings by far.
-    ranked = fits.filter("named_a = named_b AND NOT lettered_a AND lettered_b").withColumn("r", F.row_number().over(Window.partitionBy("ea").orderBy(F.desc("spellings_b"), "eb")))
-    bare = ranked.filter("r <= 2").groupBy("ea").agg(F.min_by("eb", "r").alias("eb"), F.max("spellings_b").alias("most"), F.when(F.count("*") > 1, F.min("spellings_b")).alias("next"))
-    bare = bare.filter(F.col("next").isNull() | (F.col("most") >= LARGER * F.col("next")))
-    settled = poor.select(F.col("ea").alias("e"))
-    loose = fits.filter("NOT named_a AND NOT named_b AND lettered_a = lettered_b AND ea < eb")
-    alone = loose.join(settled.withColumnRenamed("e", "ea"), "ea", "left_anti").join(settled.withColumnRenamed("e", "eb"), "eb", "left_anti")
-    links = [x.select(F.col("ea").alias("left"), F.col("eb").alias("right")) for x in (poor.filter("n = 1"), bare.join(poor.select("ea"), "ea", "left_anti"), alone)]
-    return reduce(DataFrame.unionByName, links, same)
+    fits = scratch.save(both.join(sides[0], F.col("ea") == F.col("entity_a")).join(sides[1], F.col("eb") == F.col("entity_b")).drop("entity_a", "entity_b"))
+    # Without a first name: to the one entity that has one and fits. Without a middle initial: to the one that has one, or has most spellings by far.
+    poor = F.expr("NOT named_a AND named_b")
+    bare = F.expr("named_a = named_b AND NOT lettered_a AND lettered_b")
+    weight = F.when(bare, F.col("spellings_b"))
+    open_ = fits.groupBy("ea").agg(
+        F.count(F.when(poor, 1)).alias("named"), F.min(F.when(poor, F.col("eb"))).alias("name"),
+        F.max_by(F.when(bare, F.col("eb")), F.when(bare, F.struct("spellings_b", -F.col("eb")))).alias("letter"), F.max(weight).alias("most"), F.sum(weight).alias("all"),
+    )
+    settled = scratch.save(open_)
+    to = F.when(F.col("named") == 1, F.col("name")).when((F.col("named") == 0) & (F.col("most") >= LARGER * (F.col("all") - F.col("most"))), F.col("letter"))
+    loose = fits.filter("NOT named_a AND NOT named_b AND lettered_a = lettered_b AND ea < eb").select("ea", "eb")
+    found = settled.filter("named > 0").select("ea")
+    alone = loose.join(found, "ea", "left_anti").join(found.withColumnRenamed("ea", "eb"), "eb", "left_anti")
+    links = [met.filter("kind = 'same'").select("ea", "eb"), settled.select("ea", to.alias("eb")).filter("eb IS NOT NULL"), alone.select("ea", "eb")]
+    return reduce(DataFrame.unionByName, links).select(F.col("ea").alias("left"), F.col("eb").alias("right"))
 
 
 def _richer(members: DataFrame, changed: DataFrame, field: str) -> DataFrame:
@@ -594,33 +598,29 @@ def resolve(spark: SparkSession, names: DataFrame, field: str, scratch: Scratch
     members = scratch.save(nodes.select("z", "node", F.col("z").alias("entity")))
     pairs = scratch.save(_compared(_candidates(_keyed(nodes, field), scratch), nodes, field))
     for number in range(1, MAX_ROUNDS + 1):
-        before = members
-        for _ in range(MAX_ROUNDS):
-            merged = scratch.save(connected_components(spark, _entity_links(members, pairs, field)))
-            if merged.isEmpty():
-                break
-            members = scratch.save(members.join(merged.select(F.col("node").alias("entity"), "component"), "entity", "left").select("z", "node", F.coalesce("component", "entity").alias("entity")))
-        else:
-            raise RuntimeError(f"entities still merge after {MAX_ROUNDS} steps")
-        if members is before:
+        merged = scratch.save(connected_components(spark, _entity_links(members, pairs, field, scratch), scratch))
+        if merged.isEmpty():
             break
-        changed = members.join(before.select("z", F.col("entity").alias("was")), "z").groupBy("entity").agg(F.count_distinct("was").alias("n")).filter("n > 1").select("entity")
-        new = _richer(members, changed, field).join(members.select("node").distinct(), "node", "left_anti")
-        # A profile that two entities come to share is new to both: it goes to the first, and the comparison of equal profiles joins them.
-        new = scratch.save(new.groupBy("node").agg(F.min("entity").alias("entity")).withColumn("z", F.monotonically_increasing_id() + (number << 56)))
+        moved = members.join(merged.select(F.col("node").alias("entity"), "component"), "entity", "left")
+        members = scratch.save(moved.select("z", "node", F.coalesce("component", "entity").alias("entity")))
+        new = _richer(members, merged.select(F.col("component").alias("entity")).distinct(), field).join(members.select("node").distinct(), "node", "left_anti")
+        # A profile that two entities come to share goes to the first; what it matches joins the other.
+        new = new.groupBy("node").agg(F.min("entity").alias("entity")).withColumn("z", F.monotonically_increasing_id() + (number << 56))
+        if field == "artist":
+            borne = nodes.select(_part(F.col("node"), 1).alias("given"), "borne").distinct()
+            new = new.withColumn("given", _part(F.col("node"), 1)).join(borne, "given", "left").drop("given")
+        else:
+            new = new.withColumn("borne", F.lit(1).cast("long"))
+        new = scratch.save(new.select("z", "node", "entity", F.coalesce("borne", F.lit(1).cast("long")).alias("borne")))
         if new.isEmpty():
-            break
-        borne = nodes.select(_part(F.col("node"), 1).alias("given"), "borne").distinct() if field == "artist" else None
-        fresh = new.select("z", "node", F.lit(1).cast("long").alias("borne")) if borne is None else new.withColumn("given", _part(F.col("node"), 1)).join(borne, "given", "left").select("z", "node", F.coalesce("borne", F.lit(1).cast("long")).alias("borne"))
-        fresh = scratch.save(fresh)
-        asked = scratch.save(_keyed(fresh, field))
+            continue
+        asked = scratch.save(_keyed(new, field))
         # Of all others only what shares a key with a new profile; few new keys travel to the others' keys, many meet them in a shuffle.
         posted = _keyed(nodes, field).join(asked.select("key").distinct(), "key", "left_semi").unionByName(asked)
-        nodes = scratch.save(nodes.unionByName(fresh))
-        found = _candidates(posted, scratch)
-        late = fresh.select("z")
-        with_new = found.join(late.withColumnRenamed("z", "a"), "a", "left_semi").unionByName(found.join(late.withColumnRenamed("z", "b"), "b", "left_semi")).distinct()
-        pairs = scratch.save(pairs.unionByName(_compared(with_new, nodes, field)))
+        nodes = scratch.save(nodes.unionByName(new.select("z", "node", "borne")))
+        # Numbers of a round's new profiles lie above all before.
+        found = _candidates(posted, scratch).filter(F.col("b") >= number << 56)
+        pairs = scratch.save(pairs.unionByName(_compared(found, nodes, field)))
         members = scratch.save(members.unionByName(new.select("z", "node", "entity")))
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
