@@ -109,6 +109,44 @@ def test_copies_inside_one_batch_and_late_batches(spark):
     assert got == {5, 6}
 
 
+def store_rows(spark, x, first=0, artist="Anna Vorodalunek"):
+    return spark.createDataFrame([(first + i, artist, bytearray(v.tobytes())) for i, v in enumerate(x)], "ord long, artist string, vec binary")
+
+
+def test_a_second_session_goes_on_from_the_store(spark, tmp_path, monkeypatch):
+    """The store is opened from its folder alone, reads only the cells that can match, and its cells split as they grow."""
+    monkeypatch.setattr(arrivals, "CELL", 8)
+    x = clusters(600, 64, 9, 0.05)
+    path = f"file://{tmp_path}/store"
+    arrivals.CellStore.create(spark, path, store_rows(spark, x[:300]))
+    read = []
+    plain = arrivals.CellStore._read
+    monkeypatch.setattr(arrivals.CellStore, "_read", lambda self, versions, cells=None: read.append(cells) or plain(self, versions, cells))
+    opened = arrivals.CellStore.open(spark, path)
+    cells = len(opened.tree.cells())
+    query = store_rows(spark, x[:3], first=5_000)
+    assert {r[0] for r in opened.ingest(query).collect()} == {5_000, 5_001, 5_002}
+    assert cells > 10 and 0 < len(read[-1]) < cells / 2
+    monkeypatch.setattr(arrivals, "GROWN", 2)
+    grown = arrivals.CellStore.open(spark, path)
+    # Stored rows of greater number than what comes late are found then.
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    got = {r[0] for r in grown.ingest(store_rows(spark, x[300:], first=300)).collect()}
+    want = {300 + i for i in range(300) if (unit[300 + i] @ unit[: 300 + i].T > 0.995).any()} | {5_000 + i for i in range(3) if (unit[i] @ unit[300:].T > 0.995).any()}
+    assert got == want
+    assert len(grown.tree.cells()) > cells and grown.tree.rows[grown.tree.cells()].sum() == 603
+
+
+def test_unfinished_versions_are_not_read(spark, tmp_path):
+    x = clusters(40, 64, 3, 0.05)
+    path = f"file://{tmp_path}/store"
+    store = arrivals.CellStore.create(spark, path, store_rows(spark, x[:20]))
+    store._append(store._once(store_rows(spark, x[20:], first=20)))  # and the job dies before its commit
+    opened = arrivals.CellStore.open(spark, path)
+    assert opened._read(opened.versions).count() == 20
+    assert {r[0] for r in opened.ingest(store_rows(spark, x[:1], first=90)).collect()} == {90}
+
+
 SAME_ARTIST = [
     ("Michael Dunogaguvur", "Mick Dunogaguvur"), ("Dunogaguvur, Michael", "Michael Dunogaguvur"), ("M. Dunogaguvur", "Michael Dunogaguvur"), ("The Anna Vorodalunek Quartet", "Vorodalunek, Anna (Quartet)"),
     ("Anna Vorodalunek feat. Someone Else", "Anna Vordalunek"), ("Hajaregovit Big Band", "Hajaregovti Big Band"), ("The Logekudade Ensemble", "Logekudade Ens."), ("OskarT. Susotukatar", "Oskar T. Susotukatar"),

@@ -1,17 +1,20 @@
-"""Deduplicating new batches against all history: an inverted file of vector cells that is written once and appended to.
-
-History is assigned to cells (centroids learned on a bounded sample, every vector indexed with its distance to its centroid) and written, sorted by
-cell, to the shared folder. A batch asks only the cells that can hold a match. With c* the centroid nearest to a query q, a vector x of cell c is
-on c's side of the plane between c and c*, so |q - x| >= (|q-c|^2 - |q-c*|^2) / 2|c-c*|; and |q - x| >= |q-c| - R_c for the cell's radius R_c. Cells
-are probed while both bounds are within the radius that the wanted cosine allows; beyond them no nearer match is possible. What the probed cells
-hold is ranked by exact cosine, and the batch is appended to its cells. A batch therefore reads the cells it touches, never all history.
-
-The batch is the stated query set: it meets the cells in blocks of at most BLOCK queries (a bounded broadcast), and the cells are not shuffled.
-Vectors of one direction under one artist are stored once, with their first row.
+"""Deduplicating new batches against all history: a persisted inverted file of vector cells, opened by each job and appended to.
+
+A store is a folder: vectors by cell (one folder a cell), the values (ids and keys) met so far by hash bucket, and a manifest a version with the tree of
+centroids and each cell's radii and rows. Centroids are learned on bounded samples; a cell of more than GROWN times its share is split by centroids
+of its own, so cells multiply with the data. A batch asks only the cells that can hold a match. With c* the centroid nearest to a query q among those of
+a split, a vector x below centroid c is on c's side of the plane between c and c*, so |q - x| >= (|q-c|^2 - |q-c*|^2) / 2|c-c*|; and a cell's
+vectors lie between its two radii from c, so |q - x| >= |q-c| - R and >= r - |q-c|. Cells are probed while all bounds are within the radius that the
+wanted cosine allows; beyond them no nearer match is possible. What the probed cells hold is ranked by exact cosine, and the batch is appended.
+
+A batch reads the folders of the cells and buckets it touches, never all history, and the next session goes on from the manifest. Queries meet
+their cells on the executors, a cell in blocks of about BLOCK rows. Vectors of one direction under one artist are stored once a batch, with
+their first row. A version that was not finished is not in a manifest and is not read.
 """
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,17 +27,19 @@ from vecstrand.llm.blocks import directions, vectors
 from vecstrand.llm.components import keyed
 from vecstrand.llm.names import same_lead_artist
 from vecstrand.plans.durable import Scratch
-from vecstrand.plans.skew import join_unique
 from vecstrand.sources.tables import WIDTH, usable
 
-#: Vectors from which the centroids are learned, vectors of a cell on average, cells at most.
-SAMPLE, CELL, MAX_CELLS = 20_000, 128, 8_192
-#: Queries that meet the cells at once.
-BLOCK = 50_000
+#: Vectors from which the centroids of a split are learned, and centroids of a split at most.
+SAMPLE, FAN = 20_000, 1_024
+#: Vectors of a cell on average, at least (the root of their number if that is greater), and how many times that a cell may hold.
+CELL, GROWN = 4_096, 4
+#: Rows of a cell that one task holds; values of a bucket.
+BLOCK, BUCKET = 65_536, 100_000
 #: Repeats have a cosine above this.
 COSINE = 0.995
 #: Order of rows that were there before the first arrival.
 BEFORE = -1
+MANIFEST = "version int, versions array<int>, share int, buckets int, cosine double, width int, tree binary"
 
 
 def learn_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -59,22 +64,104 @@ def distances(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(1 + (centres * centres).sum(1) - 2 * (unit @ centres.T), 0))
 
 
+class Tree:
+    """Centroids of each split and the cells at its ends. Node 0 is the root; a node without centroids is a cell."""
+
+    def __init__(self, width: int):
+        self.splits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # node -> children, centres, gaps between them
+        self.least, self.most, self.rows = np.full(1, np.inf), np.full(1, -np.inf), np.zeros(1, np.int64)
+        self.solid: set[int] = set()  # cells that no split would make smaller
+        self.centre_of = {0: np.zeros(width, np.float32)}
+
+    def split(self, node: int, centres: np.ndarray) -> None:
+        children = np.arange(len(self.rows), len(self.rows) + len(centres))
+        gaps = np.sqrt(np.maximum((centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * centres @ centres.T, 1e-12))
+        self.splits[node] = children, centres.astype(np.float32), gaps
+        self.least, self.most = np.concatenate([self.least, np.full(len(centres), np.inf)]), np.concatenate([self.most, np.full(len(centres), -np.inf)])
+        self.rows = np.concatenate([self.rows, np.zeros(len(centres), np.int64)])
+        self.centre_of |= dict(zip(children.tolist(), centres.astype(np.float32)))
+
+    def cells(self) -> list[int]:
+        return [k for k in range(len(self.rows)) if k not in self.splits]
+
+    def assign(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its centroid) of each row."""
+        cell, far = np.zeros(len(unit), np.int64), np.ones(len(unit))
+        waiting = [(0, np.arange(len(unit)))]
+        while waiting:
+            node, rows = waiting.pop()
+            if node not in self.splits:
+                cell[rows], far[rows] = node, distances(unit[rows], self.centre_of[node][None])[:, 0]
+                continue
+            children, centres, _ = self.splits[node]
+            own = np.argmin(distances(unit[rows], centres), axis=1)
+            waiting += [(int(children[c]), rows[own == c]) for c in np.unique(own)]
+        return cell, far
+
+    def probe(self, unit: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for every cell that can hold a vector within the radius of the row."""
+        rows_out, cells_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        waiting = [(0, np.arange(len(unit)))]
+        while waiting:
+            node, rows = waiting.pop()
+            if node not in self.splits:
+                d = distances(unit[rows], self.centre_of[node][None])[:, 0]
+                rows = rows[(d <= self.most[node] + radius) & (d >= self.least[node] - radius)]
+                rows_out.append(rows)
+                cells_out.append(np.full(len(rows), node))
+                continue
+            children, centres, gaps = self.splits[node]
+            d = distances(unit[rows], centres)
+            own = np.argmin(d, axis=1)
+            plane = (d**2 - d[np.arange(len(own)), own][:, None] ** 2) / (2 * gaps[own])
+            for c in np.flatnonzero((plane <= radius).any(axis=0)):
+                waiting.append((int(children[c]), rows[plane[:, c] <= radius]))
+        return np.concatenate(rows_out), np.concatenate(cells_out)
+
+
 class CellStore:
-    """Persisted cells of rows (ord long, artist string, vec binary). ord tells which row came first."""
+    """Persisted cells of rows (ord long, artist string, vec binary), and values met so far. ord tells which row came first."""
+
+    def __init__(self, spark: SparkSession, path: str, cosine: float, width: int):
+        self.spark, self.path, self.cosine, self.width = spark, path, cosine, width
+        self.radius, self.scratch = math.sqrt(2 - 2 * cosine) + 1e-4, Scratch(spark, "batches")
+        self.tree, self.versions, self.share, self.buckets = Tree(width), [], CELL, 1
 
-    def __init__(self, spark: SparkSession, history: DataFrame, cosine: float = COSINE, width: int = WIDTH):
-        self.spark, self.width, self.radius, self.cosine = spark, width, math.sqrt(2 - 2 * cosine), cosine
-        self.scratch = Scratch(spark, "cells")
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, history: DataFrame, values: DataFrame | None = None, cosine: float = COSINE, width: int = WIDTH) -> CellStore:
+        """A store of history(ord, artist, vec) and values(ord, value) at a path that is still free."""
+        self = cls(spark, path, cosine, width)
         known = self.scratch.save(self._once(history))
         n = known.count()
-        rows = known.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
-        sample = _unit(np.array([np.frombuffer(r[0], np.int8) for r in rows], np.float32).reshape(-1, width))
-        self.centres = learn_centroids(sample, max(1, min(MAX_CELLS, n // CELL))).astype(np.float32)
-        self.gaps = np.sqrt(np.maximum((self.centres**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * self.centres @ self.centres.T, 1e-12))
-        self.radii = np.full(len(self.centres), -np.inf)
-        self.paths: list[str] = []
+        self.share = max(CELL, math.isqrt(n))
+        self._split(0, known, max(1, min(FAN, n // self.share)))
         self._append(known)
+        self._grow()
+        if values is not None:
+            first = self.scratch.save(values.groupBy("value").agg(F.min("ord").alias("ord")))
+            self.buckets = max(8, first.count() // BUCKET)
+            self._keep(first)
+        self._commit()
         self.scratch.free(known)
+        return self
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> CellStore:
+        """The store as its last finished batch left it."""
+        row = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        self = cls(spark, path, row["cosine"], row["width"])
+        self.versions, self.share, self.buckets = list(row["versions"]), row["share"], row["buckets"]
+        got = np.load(io.BytesIO(row["tree"]))
+        for node in got["nodes"].tolist():
+            self.tree.split(node, got[f"centres{node}"])
+        self.tree.least, self.tree.most, self.tree.rows, self.tree.solid = got["least"], got["most"], got["rows"], set(got["solid"].tolist())
+        return self
+
+    def _commit(self) -> None:
+        t, raw = self.tree, io.BytesIO()
+        np.savez(raw, nodes=np.array(list(t.splits), np.int64), least=t.least, most=t.most, rows=t.rows, solid=np.array(sorted(t.solid), np.int64), **{f"centres{n}": c for n, (_, c, _) in t.splits.items()})
+        row = (max(self.versions, default=0), self.versions, self.share, self.buckets, self.cosine, self.width, bytearray(raw.getvalue()))
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _once(self, rows: DataFrame) -> DataFrame:
         """Vectors as directions, one row for each direction and artist."""
@@ -86,127 +173,158 @@ class CellStore:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in d], pa.binary())], ["ord", "artist", "vec"])
 
         named = rows.filter(F.col("artist").isNotNull() & F.col("ord").isNotNull() & (F.octet_length("vec") == width)).select("ord", "artist", "vec")
-        return named.mapInArrow(canon, "ord long, artist string, vec binary").groupBy("artist", "vec").agg(F.min("ord").alias("ord"))
+        return named.mapInArrow(canon, "ord long, artist string, vec binary").groupBy("artist", "vec").agg(F.min("ord").alias("ord"), F.collect_list("ord").alias("copies"))
+
+    def _split(self, node: int, rows: DataFrame, count: int) -> None:
+        got = rows.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
+        sample = _unit(np.array([np.frombuffer(r[0], np.int8) for r in got], np.float32).reshape(-1, self.width))
+        self.tree.split(node, learn_centroids(sample, count))
 
     def _append(self, rows: DataFrame) -> None:
-        centres, width = self.centres, self.width
+        """Writes rows(ord, artist, vec) to their cells as a new version; the manifest takes it up at the next commit."""
+        tree, width, version = self.tree, self.width, max(self.versions, default=0) + 1
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 2_000):
                     part = b.slice(at, 2_000)
-                    d = distances(_unit(vectors(part.column(2), width)), centres)
-                    own = np.argmin(d, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(own)), own].astype(np.float64)), *part.columns], ["cell", "r", "ord", "artist", "vec"])
+                    cell, far = tree.assign(_unit(vectors(part.column(2), width)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(far), *part.columns], ["cell", "r", "ord", "artist", "vec"])
 
         cells = rows.select("ord", "artist", "vec").mapInArrow(assign, "cell int, r double, ord long, artist string, vec binary")
-        saved = self.scratch.save(cells.repartitionByRange("cell").sortWithinPartitions("cell"))
-        for cell, r in saved.groupBy("cell").agg(F.max("r")).collect():  # at most MAX_CELLS rows
-            self.radii[cell] = max(self.radii[cell], r)
-        self.paths.append(saved._vecstrand_path)
+        cells.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors/v={version}")
+        if self._wrote(f"{self.path}/vectors/v={version}"):
+            for cell, low, high, n in self._read([version]).groupBy("cell").agg(F.min("r"), F.max("r"), F.count("*")).collect():  # a row a cell
+                tree.least[cell], tree.most[cell] = min(tree.least[cell], low), max(tree.most[cell], high)
+                tree.rows[cell] += n
+            self.versions.append(version)
+
+    def _wrote(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return any("cell=" in s.getPath().getName() for s in where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where))
+
+    def _read(self, versions: list[int], cells: list[int] | None = None) -> DataFrame:
+        """Only the folders of the versions and cells are read."""
+        rows = self.spark.read.schema("r double, ord long, artist string, vec binary, v int, cell int").parquet(f"{self.path}/vectors")
+        rows = rows.filter(F.col("v").isin(versions))
+        return rows if cells is None else rows.filter(F.col("cell").isin(cells))
+
+    def _grow(self) -> None:
+        """Splits cells that hold more than GROWN shares, until none does or no split would help."""
+        tree = self.tree
+        while large := [c for c in tree.cells() if tree.rows[c] > GROWN * self.share and c not in tree.solid]:
+            for cell in large:
+                rows = self.scratch.save(self._read(self.versions, [cell]).select("ord", "artist", "vec"))
+                self._split(cell, rows, max(2, min(FAN, int(tree.rows[cell]) // self.share)))
+                self._append(rows)
+                children = tree.splits[cell][0]
+                tree.solid |= {int(c) for c in children if tree.rows[c] > 0.9 * tree.rows[cell]}
+                self.scratch.free(rows)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("value"), F.lit(self.buckets)).cast("int")
+
+    def _keep(self, first: DataFrame) -> None:
+        first.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/values")
+
+    def ingest(self, batch: DataFrame, values: DataFrame | None = None, same: Callable[[str, str], bool] = same_lead_artist) -> DataFrame:
+        """Appends batch(ord, artist, vec) and values(ord, value); returns (ord) of the rows that repeat an earlier one: of the batch, or of those
+        before it if the batch came late."""
+        once = self.scratch.save(self._once(batch))
+        copies = once.select(F.explode("copies").alias("o"), "ord").filter("o > ord").select(F.col("o").alias("ord"))
+        self._append(once)
+        found = self.scratch.save(self._meet(once, same).unionByName(copies).distinct())
+        if values is not None:
+            found = found.unionByName(self._met_values(values))
+        self._grow()
+        self._commit()
+        return found
 
-    def _probes(self, rows: DataFrame) -> DataFrame:
-        centres, gaps, radii, radius, width = self.centres, self.gaps, self.radii, self.radius + 1e-4, self.width
+    def _met_values(self, values: DataFrame) -> DataFrame:
+        values = values.distinct()
+        first = self.scratch.save(values.groupBy("value").agg(F.min("ord").alias("first")))
+        touched = [r[0] for r in first.select(self._bucket()).distinct().collect()]  # at most the number of buckets
+        known = self.spark.read.schema("value string, ord long, bucket int").parquet(f"{self.path}/values").filter(F.col("bucket").isin(touched))
+        stored = known.join(first, "value").groupBy("value").agg(F.min("ord").alias("stored"))
+        both = self.scratch.save(first.join(stored, "value", "left"))
+        later = values.join(both, "value").filter(F.col("ord") > F.least("first", F.coalesce("stored", "first"))).select("ord")
+        overtaken = both.filter(F.col("stored") > F.col("first")).select(F.col("stored").alias("ord"))
+        self._keep(first.select("value", F.col("first").alias("ord")))
+        return later.unionByName(overtaken)
+
+    def _meet(self, once: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
+        tree, width, radius, cosine = self.tree, self.width, self.radius, self.cosine
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 2_000):
                     part = b.slice(at, 2_000)
-                    d = distances(_unit(vectors(part.column(2), width)), centres)
-                    own = np.argmin(d, axis=1)
-                    plane = (d**2 - d[np.arange(len(own)), own][:, None] ** 2) / (2 * gaps[own])
-                    lists = [np.flatnonzero(x).astype(np.int32) for x in (plane <= radius) & (d <= radii + radius)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int32()))], ["ord", "artist", "vec", "cells"])
-
-        return rows.select("ord", "artist", "vec").mapInArrow(probe, "ord long, artist string, vec binary, cells array<int>")
-
-    def ingest(self, batch: DataFrame, same: Callable[[str, str], bool] = same_lead_artist) -> DataFrame | None:
-        """Appends the batch and returns (ord) of the rows that repeat an earlier one: of the batch, or of those before it if the batch came late.
-        Rows of one direction and artist are one row; the caller treats their later copies by their equal vectors (see repeats)."""
-        once = self.scratch.save(self._once(batch))
-        self._append(once)
-        found, block = None, []
-        for row in self._probes(once).toLocalIterator(prefetchPartitions=True):
-            block.append(row)
-            if len(block) == BLOCK:
-                part = self._meet(block, same)
-                found, block = part if found is None else found.unionByName(part), []
-        if block:
-            part = self._meet(block, same)
-            found = part if found is None else found.unionByName(part)
-        return found
-
-    def _meet(self, block: list, same: Callable[[str, str], bool]) -> DataFrame:
-        by_cell: dict[int, list[int]] = {}
-        for k, row in enumerate(block):
-            for c in row[3]:
-                by_cell.setdefault(c, []).append(k)
-        shared = self.spark.sparkContext.broadcast((
-            np.array([r[0] for r in block], np.int64), [r[1] for r in block], _unit(np.array([np.frombuffer(r[2], np.int8) for r in block], np.float64)), {c: np.array(v) for c, v in by_cell.items()},
-        ))
-        width, cosine = self.width, self.cosine
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ords, artists, queries, cells = shared.value
+                    rows, cells = tree.probe(_unit(vectors(part.column(2), width)), radius)
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), *(c.take(take) for c in part.columns)], ["cell", "ord", "artist", "vec"])
+
+        asked = self.scratch.save(once.select("ord", "artist", "vec").mapInArrow(probe, "cell int, ord long, artist string, vec binary"))
+        touched = [r[0] for r in asked.select("cell").distinct().collect()]  # at most the number of cells
+        blocks = {c: -(-int(tree.rows[c]) // BLOCK) for c in touched}
+        many = F.element_at(F.create_map(*[F.lit(x) for c, n in blocks.items() if n > 1 for x in (c, n)]), F.col("cell")) if max(blocks.values(), default=1) > 1 else F.lit(1)
+        many = F.coalesce(many, F.lit(1))
+        stored = self._read(self.versions, touched).select("cell", F.pmod(F.xxhash64("ord", "artist", "vec"), many.cast("long")).cast("int").alias("block"), F.lit(0).alias("asks"), "ord", "artist", "vec")
+        asking = asked.select("cell", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"), F.lit(1).alias("asks"), "ord", "artist", "vec")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unit, held, block, out = None, [], None, set()
             for b in batches:
-                if not b.num_rows:
-                    continue
-                cell, theirs, names = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-                unit = _unit(vectors(b.column(3), width).astype(np.float64))
-                out: set[int] = set()
-                cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+                keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+                cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else [0]
                 for x, y in zip(cuts[:-1], cuts[1:]):
-                    asked = cells.get(int(cell[x]))
-                    if asked is None:
+                    part = b.slice(x, y - x)
+                    if keys[x][:2] != unit:
+                        unit, held, block = keys[x][:2], [], None
+                    if not keys[x][2]:
+                        held.append(part)
+                        continue
+                    if block is None and held:
+                        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                        block = t.column(3).to_numpy(), t.column(4), _unit(vectors(t.column(5), width).astype(np.float64))
+                    if block is None:
                         continue
-                    for at in range(0, len(asked), 2_048):
-                        some = asked[at : at + 2_048]
-                        for i, j in np.argwhere(queries[some] @ unit[x:y].T > cosine):
-                            q, o = int(ords[some[i]]), int(theirs[x + j])
-                            late = q if o == BEFORE else max(q, o)
-                            if q != o and late not in out and same(artists[some[i]], names[x + int(j)].as_py()):
-                                out.add(late)
+                    ords, artists, queries = part.column(3).to_numpy(), part.column(4), _unit(vectors(part.column(5), width).astype(np.float64))
+                    for at in range(0, len(ords), 256):
+                        for i, j in np.argwhere(queries[at : at + 256] @ block[2].T > cosine):
+                            q, o = int(ords[at + i]), int(block[0][j])
+                            if q != o and max(q, o) not in out and same(artists[at + int(i)].as_py(), block[1][int(j)].as_py()):
+                                out.add(max(q, o))
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.int64())], ["ord"])
+                out = set()
 
-        there = self.spark.read.schema("cell int, r double, ord long, artist string, vec binary").parquet(*self.paths).filter(F.col("cell").isin(sorted(by_cell)))
-        return self.scratch.save(there.select("cell", "ord", "artist", "vec").mapInArrow(scan, "ord long").distinct())
-
-
-def _identity(tracks: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """Arrivals whose id or stored key an earlier row has: the first row of each value is found by one aggregation, combined before its shuffle."""
+        laid = stored.unionByName(asking).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+        return laid.mapInArrow(meet, "ord long")
 
-    def values(df: DataFrame, order) -> DataFrame:
-        ids = df.filter(F.col("track_id").isNotNull()).select(order.alias("ord"), F.concat(F.lit("i:"), "track_id").alias("value"))
-        return ids.unionByName(keyed(df).select(order.alias("ord"), F.concat(F.lit("k:"), "dedupe_key").alias("value")))
 
-    new = values(arrivals, F.col("arrival_id"))
-    first = values(tracks, F.lit(BEFORE).cast("long")).unionByName(new).groupBy("value").agg(F.min("ord").alias("first"))
-    return join_unique(new, first, "value").filter(F.col("first") < F.col("ord")).select("ord")
+def identity(df: DataFrame, order) -> DataFrame:
+    """(ord, value): the ids and the stored keys that name a recording."""
+    ids = df.filter(F.col("track_id").isNotNull()).select(order.alias("ord"), F.concat(F.lit("i:"), "track_id").alias("value"))
+    return ids.unionByName(keyed(df).select(order.alias("ord"), F.concat(F.lit("k:"), "dedupe_key").alias("value")))
 
 
-def repeats(spark: SparkSession, tracks: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """(arrival_id) of every arrival that repeats a row of tracks or an arrival of smaller id.
+def repeats(spark: SparkSession, tracks: DataFrame, arrivals: DataFrame, path: str | None = None) -> DataFrame:
+    """(arrival_id) of every arrival that repeats a row of tracks or an arrival of smaller id. The store is written at path (a scratch folder if
+    none is given), opened from there, and every batch appended to it.
 
     Defined cases: an arrival without a usable vector or artist is judged by its id and key alone, one without those is no repeat; null arrival ids are
     ignored; rows that share an arrival id are one arrival; batches may come in any order and batch_no may be null (judged last); empty tables
     give no rows; other columns are ignored.
     """
-    arrivals = arrivals.filter(F.col("arrival_id").isNotNull())
-    found = _identity(tracks, arrivals)
-    new = usable(arrivals).filter(F.col("artist").isNotNull()).select(F.col("arrival_id").cast("long").alias("ord"), "artist", F.col("embedding").alias("vec"), "batch_no")
-    store = CellStore(spark, usable(tracks).select(F.lit(BEFORE).cast("long").alias("ord"), "artist", F.col("embedding").alias("vec")))
-    for (number,) in arrivals.select("batch_no").distinct().orderBy(F.col("batch_no").asc_nulls_last()).toLocalIterator():
-        part = store.ingest(new.filter(F.col("batch_no").eqNullSafe(F.lit(number))))
-        found = found if part is None else found.unionByName(part)
-    # Copies under one artist: the first of them stands for all in the store; the others repeat it.
-    copies = store._once(new).select("artist", "vec", F.col("ord").alias("first"))
-    again = _directed(new, store.width).join(copies, ["artist", "vec"]).filter(F.col("ord") > F.col("first")).select("ord")
-    return found.unionByName(again).select(F.col("ord").alias("arrival_id")).distinct()
-
-
-def _directed(rows: DataFrame, width: int) -> DataFrame:
-    def canon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in directions(vectors(b.column(2), width))], pa.binary())], ["ord", "artist", "vec"])
-
-    return rows.select("ord", "artist", "vec").mapInArrow(canon, "ord long, artist string, vec binary")
+    arrivals, path = arrivals.filter(F.col("arrival_id").isNotNull()), path or f"{Scratch(spark, 'cells').root}"
+    number = F.col("arrival_id").cast("long")
+    before = F.lit(BEFORE).cast("long")
+    CellStore.create(spark, path, usable(tracks).select(before.alias("ord"), "artist", F.col("embedding").alias("vec")), identity(tracks, before))
+    # As a later job would: from the manifest alone.
+    store, found = CellStore.open(spark, path), None
+    for (batch,) in arrivals.select("batch_no").distinct().orderBy(F.col("batch_no").asc_nulls_last()).toLocalIterator():
+        new = arrivals.filter(F.col("batch_no").eqNullSafe(F.lit(batch)))
+        part = store.ingest(usable(new).select(number.alias("ord"), "artist", F.col("embedding").alias("vec")), identity(new, number))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "arrival_id long")
+    return found.select(F.col("ord").alias("arrival_id")).filter(F.col("arrival_id") != BEFORE).distinct()
