@@ -141,7 +141,7 @@ def test_unfinished_versions_are_not_read(spark, tmp_path):
     x = clusters(40, 64, 3, 0.05)
     path = f"file://{tmp_path}/store"
     store = arrivals.CellStore.create(spark, path, store_rows(spark, x[:20]))
-    store._append(store._once(store_rows(spark, x[20:], first=20)))  # and the job dies before its commit
+    store._append(store._placed(store._once(store_rows(spark, x[20:], first=20))))  # and the job dies before its commit
     opened = arrivals.CellStore.open(spark, path)
     assert opened._read(opened.versions).count() == 20
     assert {r[0] for r in opened.ingest(store_rows(spark, x[:1], first=90)).collect()} == {90}

@@ -39,7 +39,8 @@ BLOCK, BUCKET = 65_536, 100_000
 COSINE = 0.995
 #: Order of rows that were there before the first arrival.
 BEFORE = -1
-MANIFEST = "version int, versions array<int>, share int, buckets int, cosine double, width int, tree binary"
+#: Up to so many buckets a batch reads them all, without asking first which it touches.
+FEW = 64
 
 
 def learn_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -119,6 +120,10 @@ class Tree:
         return np.concatenate(rows_out), np.concatenate(cells_out)
 
 
+def _fs(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 class CellStore:
     """Persisted cells of rows (ord long, artist string, vec binary), and values met so far. ord tells which row came first."""
 
@@ -135,7 +140,7 @@ class CellStore:
         n = known.count()
         self.share = max(CELL, math.isqrt(n))
         self._split(0, known, max(1, min(FAN, n // self.share)))
-        self._append(known)
+        self._append(self._placed(known.drop("copies")))
         self._grow()
         if values is not None:
             first = self.scratch.save(values.groupBy("value").agg(F.min("ord").alias("ord")))
@@ -148,20 +153,30 @@ class CellStore:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> CellStore:
         """The store as its last finished batch left it."""
-        row = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
-        self = cls(spark, path, row["cosine"], row["width"])
-        self.versions, self.share, self.buckets = list(row["versions"]), row["share"], row["buckets"]
-        got = np.load(io.BytesIO(row["tree"]))
+        there = [int(f.getPath().getName()) for f in _fs(spark, path).listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")) if f.getPath().getName().isdigit()]
+        stream = _fs(spark, path).open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{max(there)}"))
+        got = np.load(io.BytesIO(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        stream.close()
+        self = cls(spark, path, float(got["cosine"]), int(got["width"]))
+        self.versions, self.share, self.buckets = got["versions"].tolist(), int(got["share"]), int(got["buckets"])
         for node in got["nodes"].tolist():
             self.tree.split(node, got[f"centres{node}"])
         self.tree.least, self.tree.most, self.tree.rows, self.tree.solid = got["least"], got["most"], got["rows"], set(got["solid"].tolist())
         return self
 
     def _commit(self) -> None:
+        """Writes the manifest under another name and moves it to its place, so that it is there whole or not at all."""
         t, raw = self.tree, io.BytesIO()
-        np.savez(raw, nodes=np.array(list(t.splits), np.int64), least=t.least, most=t.most, rows=t.rows, solid=np.array(sorted(t.solid), np.int64), **{f"centres{n}": c for n, (_, c, _) in t.splits.items()})
-        row = (max(self.versions, default=0), self.versions, self.share, self.buckets, self.cosine, self.width, bytearray(raw.getvalue()))
-        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        np.savez(
+            raw, nodes=np.array(list(t.splits), np.int64), least=t.least, most=t.most, rows=t.rows, solid=np.array(sorted(t.solid), np.int64), versions=np.array(self.versions, np.int64),
+            share=self.share, buckets=self.buckets, cosine=self.cosine, width=self.width, **{f"centres{n}": c for n, (_, c, _) in t.splits.items()},
+        )
+        fs, place = _fs(self.spark, self.path), self.spark._jvm.org.apache.hadoop.fs.Path
+        number = max([int(f.getPath().getName()) for f in fs.listStatus(place(f"{self.path}/manifest")) if f.getPath().getName().isdigit()], default=0) + 1 if fs.exists(place(f"{self.path}/manifest")) else 1
+        stream = fs.create(place(f"{self.path}/manifest/{number}.part"), True)
+        stream.write(bytearray(raw.getvalue()))
+        stream.close()
+        fs.rename(place(f"{self.path}/manifest/{number}.part"), place(f"{self.path}/manifest/{number}"))
 
     def _once(self, rows: DataFrame) -> DataFrame:
         """Vectors as directions, one row for each direction and artist."""
@@ -180,23 +195,30 @@ class CellStore:
         sample = _unit(np.array([np.frombuffer(r[0], np.int8) for r in got], np.float32).reshape(-1, self.width))
         self.tree.split(node, learn_centroids(sample, count))
 
-    def _append(self, rows: DataFrame) -> None:
-        """Writes rows(ord, artist, vec) to their cells as a new version; the manifest takes it up at the next commit."""
-        tree, width, version = self.tree, self.width, max(self.versions, default=0) + 1
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """rows with the cell of each and its distance to the centroid, saved; the cells' radii and sizes take them in."""
+        tree, width, others = self.tree, self.width, [c for c in rows.columns if c not in ("ord", "artist", "vec")]
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 2_000):
                     part = b.slice(at, 2_000)
                     cell, far = tree.assign(_unit(vectors(part.column(2), width)))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(far), *part.columns], ["cell", "r", "ord", "artist", "vec"])
-
-        cells = rows.select("ord", "artist", "vec").mapInArrow(assign, "cell int, r double, ord long, artist string, vec binary")
-        cells.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors/v={version}")
-        if self._wrote(f"{self.path}/vectors/v={version}"):
-            for cell, low, high, n in self._read([version]).groupBy("cell").agg(F.min("r"), F.max("r"), F.count("*")).collect():  # a row a cell
-                tree.least[cell], tree.most[cell] = min(tree.least[cell], low), max(tree.most[cell], high)
-                tree.rows[cell] += n
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(far), *part.columns], ["cell", "r", *part.schema.names])
+
+        schema = "cell int, r double, ord long, artist string, vec binary" + (", copies array<bigint>" if others else "")
+        placed = self.scratch.save(rows.select("ord", "artist", "vec", *others).mapInArrow(assign, schema))
+        for cell, low, high, n in placed.groupBy("cell").agg(F.min("r"), F.max("r"), F.count("*")).collect():  # a row a cell
+            tree.least[cell], tree.most[cell] = min(tree.least[cell], low), max(tree.most[cell], high)
+            tree.rows[cell] += n
+        return placed
+
+    def _append(self, placed: DataFrame) -> None:
+        """Writes rows to the folders of their cells as a new version; the manifest takes it up at the next commit."""
+        version = max(self.versions, default=0) + 1
+        path = f"{self.path}/vectors/v={version}"
+        placed.select("cell", "r", "ord", "artist", "vec").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+        if self._wrote(path):
             self.versions.append(version)
 
     def _wrote(self, path: str) -> bool:
@@ -216,7 +238,7 @@ class CellStore:
             for cell in large:
                 rows = self.scratch.save(self._read(self.versions, [cell]).select("ord", "artist", "vec"))
                 self._split(cell, rows, max(2, min(FAN, int(tree.rows[cell]) // self.share)))
-                self._append(rows)
+                self._append(self._placed(rows))
                 children = tree.splits[cell][0]
                 tree.solid |= {int(c) for c in children if tree.rows[c] > 0.9 * tree.rows[cell]}
                 self.scratch.free(rows)
@@ -230,27 +252,30 @@ class CellStore:
     def ingest(self, batch: DataFrame, values: DataFrame | None = None, same: Callable[[str, str], bool] = same_lead_artist) -> DataFrame:
         """Appends batch(ord, artist, vec) and values(ord, value); returns (ord) of the rows that repeat an earlier one: of the batch, or of those
         before it if the batch came late."""
-        once = self.scratch.save(self._once(batch))
-        copies = once.select(F.explode("copies").alias("o"), "ord").filter("o > ord").select(F.col("o").alias("ord"))
+        once = self._placed(self._once(batch))
         self._append(once)
-        found = self.scratch.save(self._meet(once, same).unionByName(copies).distinct())
-        if values is not None:
-            found = found.unionByName(self._met_values(values))
+        found = self._meet(once, same).unionByName(once.select(F.explode("copies").alias("o"), "ord").filter("o > ord").select(F.col("o").alias("ord")))
+        if values is None:
+            found = self.scratch.save(found.distinct())
+        else:
+            both, met = self._met_values(values)
+            found = self.scratch.save(found.unionByName(met).distinct())
+            self._keep(both.select("value", F.col("first").alias("ord")))
         self._grow()
         self._commit()
         return found
 
-    def _met_values(self, values: DataFrame) -> DataFrame:
-        values = values.distinct()
-        first = self.scratch.save(values.groupBy("value").agg(F.min("ord").alias("first")))
-        touched = [r[0] for r in first.select(self._bucket()).distinct().collect()]  # at most the number of buckets
-        known = self.spark.read.schema("value string, ord long, bucket int").parquet(f"{self.path}/values").filter(F.col("bucket").isin(touched))
-        stored = known.join(first, "value").groupBy("value").agg(F.min("ord").alias("stored"))
+    def _met_values(self, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the batch's values with their first rows here and in the store, the rows that come after a first one)."""
+        first = values.groupBy("value").agg(F.min("ord").alias("first"))
+        known = self.spark.read.schema("value string, ord long, bucket int").parquet(f"{self.path}/values")
+        if self.buckets > FEW:
+            known = known.filter(F.col("bucket").isin([r[0] for r in first.select(self._bucket()).distinct().collect()]))
+        stored = known.join(first, "value", "left_semi").groupBy("value").agg(F.min("ord").alias("stored"))
         both = self.scratch.save(first.join(stored, "value", "left"))
         later = values.join(both, "value").filter(F.col("ord") > F.least("first", F.coalesce("stored", "first"))).select("ord")
         overtaken = both.filter(F.col("stored") > F.col("first")).select(F.col("stored").alias("ord"))
-        self._keep(first.select("value", F.col("first").alias("ord")))
-        return later.unionByName(overtaken)
+        return both, later.unionByName(overtaken)
 
     def _meet(self, once: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
         tree, width, radius, cosine = self.tree, self.width, self.radius, self.cosine
@@ -263,7 +288,7 @@ class CellStore:
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), *(c.take(take) for c in part.columns)], ["cell", "ord", "artist", "vec"])
 
-        asked = self.scratch.save(once.select("ord", "artist", "vec").mapInArrow(probe, "cell int, ord long, artist string, vec binary"))
+        asked = once.select("ord", "artist", "vec").mapInArrow(probe, "cell int, ord long, artist string, vec binary")
         touched = [r[0] for r in asked.select("cell").distinct().collect()]  # at most the number of cells
         blocks = {c: -(-int(tree.rows[c]) // BLOCK) for c in touched}
         many = F.element_at(F.create_map(*[F.lit(x) for c, n in blocks.items() if n > 1 for x in (c, n)]), F.col("cell")) if max(blocks.values(), default=1) > 1 else F.lit(1)
