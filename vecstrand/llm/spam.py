@@ -1,8 +1,8 @@
 """Keyword-stuffed and link-list pages.
 
 Measured over the whole text of every document: the share of its most frequent content word and of its most frequent word pair, the share of
-repeated lines and of repeated runs of words, the share of link text, separators per word, and the share of function words. Thresholds on function words, the top word, the top
-pair, repeated runs of words and repeated lines are calibrated per language over all documents (quantiles of the corpus, one row a language); the language is read off the
+repeated lines and of repeated runs of words, the share of link text, separators per word, and the share of function words. The threshold on each of these is calibrated per language
+over all documents (quantiles of the corpus, one row a language); the language is read off the
 function words themselves, since the stated one may be wrong or missing.
 
 A page is stuffed if the words of its stuffed segments (lines, and sentences within lines) outweigh those of its sentences. A segment is stuffed
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from vecstrand.plans.durable import Scratch
 
-# Common function words of each language.
+# Articles, pronouns, prepositions, conjunctions, auxiliaries and adverbs of degree of each language.
 FUNCTION_WORDS = {
-    "en": "the a an and of in to is it that for with on as at by from this i you we they he she not but was are be or had has have his her its their our one all there then so until after before where when which who if no nobody some us more than too up out over once just my me d ll s t don doesn had",
-    "es": "de la el los las y en que un una del se por con para no es lo su al como pero más me pero otra donde nadie si sin casi muy ya también quizá después dos gustó",
-    "de": "der die das und ist nicht ein eine einen einem einer mit von den dem des im in es auf aber wie bei zu für sich so als auch wir ich er sie am an keine kein nur wenig wirkt hatten gibt da um vor nach ohne dabei",
-    "fr": "le la les et un une des est pas de du en que pour dans ce au aux sur à l d n c on il elle ne mais plus par qui dont a deux presque très trop sans tant rien avec y si nous",
-    "pt": "o a os as e um uma do da dos das em que não para com foi mais mas na no nas nos é por se ao também à são ele ela muito pela pelo nem tem na dois duas de queríamos",
-    "ru": "и в не на с что по как это из за но у от для без почти мне больше он она они так же его её все уже если или дважды раз там где под каждый после никто был была было",
+    "en": "the a an and of in to is it that for with on as at by from this these those i you we they he she not no but was are be been or had has have do does did his her its their our your my me him us them one all there here then so than too very until after before while where when which who what if because though through into over under up out off about again once only just more most some any each both few other such own same s t d ll m re ve can could will would should may might must between against during above below down nobody nothing",
+    "es": "de la el los las y e o u en que un una unos unas del al se por con para sin sobre entre hasta desde no ni si sí lo le les su sus mi tu es son era eran fue ha han había hay ser está como más menos pero porque cuando donde quien cual este esta estos estas ese esa eso esto otro otra todo toda todos nada nadie algo muy ya también después antes casi yo él ella nos me te",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber ist sind war waren wird werden hat haben hatte nicht kein keine nur auch noch schon mit von vom in im an am auf aus bei beim zu zum zur für über unter um vor nach ohne durch gegen bis wie als wenn weil dass so da dann dort hier es er sie wir ich ihr man sich sein seine mein uns ihm ihn was wer wo sehr mehr",
+    "fr": "le la les l un une des de du d et ou mais ni est sont était être a ont avait en dans sur sous par pour avec sans entre vers chez au aux à ce cet cette ces c s se son sa ses leur leurs mon ma mes on il elle ils elles nous vous je j tu y ne n pas plus moins très trop presque rien tout tous toute que qu qui dont où quand comme si même aussi encore après avant deux",
+    "pt": "o a os as um uma uns umas e ou de do da dos das em no na nos nas por pelo pela pelos pelas para com sem sob sobre entre até desde não nem se que quem qual quando onde como mais menos mas porque é são era eram foi ser está ao aos à às seu sua seus suas meu minha este esta esse essa isso isto ele ela eles elas eu nós me muito também já ainda só depois antes tem há tudo nada dois duas",
+    "ru": "и в во на не ни с со по к ко из от до за о об у для без под над при про через между что как это этот эта эти тот та те он она оно они мы вы я его её их ему ей им нас вас мне меня был была было были есть быть же ли бы то но а или если когда где там здесь так уже ещё все всё весь вся раз только очень почти после перед каждый никто ничего больше",
 }
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*_WORDS.values())
@@ -66,10 +66,11 @@ PAIR_TIMES, PAIR_LEAST = 4, 0.14
 SAID_LEAST, SAID_QUANTILE, SAID_MOST, RUN = 0.6, 0.95, 0.8, 4
 #: Share of words said less than TOP_COUNT times from which on repetition is a refrain of prose.
 PROSE_BESIDE = 0.25
-#: Separators a word of a list.
-SEPARATORS = 0.2
-#: A link weighs as so many words; text with one for each so many words is link text.
-LINK_WORDS, LINK_EACH = 3, 9
+#: Separators a word of a list: this many times the language's middle document, within these bounds.
+SEPARATOR_TIMES, SEPARATOR_LEAST, SEPARATOR_MOST = 3, 0.2, 0.25
+#: A link weighs as so many words; text of this share of links is link text, or of so many times the share that the language's most linked documents
+#: (the quantile) have.
+LINK_WORDS, LINK_SHARE, LINK_QUANTILE, LINK_TIMES, LINK_MOST = 3, 0.1, 0.9, 2, 0.2
 #: Share of stuffed words at which a page is stuffed, and how many there must be.
 STUFFED_SHARE, STUFFED_WORDS = 0.5, 5
 
@@ -122,7 +123,7 @@ def _beside(line: str) -> bool:
     return line.rstrip()[-4:].strip(")]")[-2:].isdigit() and _TRACK.match(line) is not None and not _links(line)
 
 
-def weigh(text: str, function_least: float, top_least: float, lang: str, repeating: bool = False) -> tuple[float, float]:
+def weigh(text: str, function_least: float, top_least: float, lang: str, repeating: bool = False, separators_most: float = SEPARATOR_LEAST, links_most: float = LINK_SHARE) -> tuple[float, float]:
     """(stuffed, sentence) words of a page; of one that is repeating, copies of sentences and lines are stuffed. A pair of Japanese characters counts as a word; a bare source line too."""
     text = html.unescape(text) if "&" in text else text
     text = _MARKUP.sub("", text) if "<" in text or "*" in text or "_" in text else text
@@ -158,7 +159,7 @@ def weigh(text: str, function_least: float, top_least: float, lang: str, repeati
             weight = n + LINK_WORDS * links + sum(max(len(_CAMEL.findall(t)), len(t) // 9 + 1) - 1 for t in tags)
             breaks = bare.strip().count("\n")
             separators = len(_SEPARATOR.findall(bare)) + (breaks if breaks > 4 and n <= 4.5 * (breaks + 1) else breaks / 2)
-            if links * LINK_EACH >= n or len(tags) * 2 > len(words):
+            if links and links >= links_most * (n + links) or len(tags) * 2 > len(words):
                 stuffed += weight
             elif kana * 4 > len(bare) and separators * 6 < n:
                 sentences += n
@@ -170,9 +171,9 @@ def weigh(text: str, function_least: float, top_least: float, lang: str, repeati
                 # Passages in another language are read by its words.
                 serving, ended = max(served(words)), _END.search(bare) is not None
                 least = max(1, function_least * n)
-                if serving >= least and (ended or serving >= 1.5 * least or separators <= n / 20) and (separators <= SEPARATORS * n or serving >= 1.6 * least):
+                if serving >= least and (ended or serving >= 1.5 * least or separators <= n / 20) and (separators <= separators_most * n or serving >= 1.6 * least):
                     sentences += n
-                elif separators > SEPARATORS * n or not ended or n > 14:
+                elif separators > separators_most * n or not ended or n > 14:
                     stuffed += weight
                 else:
                     sentences += n / 2
@@ -201,14 +202,14 @@ def stuffed_pages(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [shares(t) for t in b.column(0).to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.int32()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (7, pa.float64()), (8, pa.float64()))], ["language", "words", "top_word", "top_pair", "repeated_lines", "function_words", "repeated_runs"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.int32()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64()), (6, pa.float64()), (7, pa.float64()), (8, pa.float64()))], ["language", "words", "top_word", "top_pair", "repeated_lines", "links", "separators", "function_words", "repeated_runs"])
 
-    every = df.select(text).mapInArrow(figures, "language string, words int, top_word double, top_pair double, repeated_lines double, function_words double, repeated_runs double")
+    every = df.select(text).mapInArrow(figures, "language string, words int, top_word double, top_pair double, repeated_lines double, links double, separators double, function_words double, repeated_runs double")
     # Calibration over all documents: one row a language, seven at most.
-    figured = [F.percentile_approx(c, q) for c, q in (("function_words", 0.5), ("top_word", 0.5), ("top_pair", 0.5), ("repeated_lines", SAID_QUANTILE), ("repeated_runs", SAID_QUANTILE))]
+    figured = [F.percentile_approx(c, q) for c, q in (("function_words", 0.5), ("top_word", 0.5), ("top_pair", 0.5), ("repeated_lines", SAID_QUANTILE), ("repeated_runs", SAID_QUANTILE), ("separators", 0.5), ("links", LINK_QUANTILE))]
     middle = {r[0]: r[1:] for r in every.filter("words >= 20").groupBy("language").agg(*figured).collect()}
     often = lambda share: max(SAID_LEAST, min(SAID_MOST, share))
-    limits = {k: (FUNCTION_SHARE * f, max(TOP_LEAST, min(0.15, TOP_TIMES * t)), max(PAIR_LEAST, PAIR_TIMES * p), often(m), often(n)) for k, (f, t, p, m, n) in middle.items()}
+    limits = {k: (FUNCTION_SHARE * f, max(TOP_LEAST, min(0.15, TOP_TIMES * t)), max(PAIR_LEAST, PAIR_TIMES * p), often(m), often(n), max(SEPARATOR_LEAST, min(SEPARATOR_MOST, SEPARATOR_TIMES * a)), max(LINK_SHARE, min(LINK_MOST, LINK_TIMES * b))) for k, (f, t, p, m, n, a, b) in middle.items()}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,8 +218,8 @@ def stuffed_pages(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                 if not t:
                     continue
                 page = shares(t)
-                least, top, pair, lines, runs = limits.get(page[0], (0.1, TOP_LEAST, PAIR_LEAST, SAID_LEAST, SAID_LEAST))
-                stuffed, sentences = weigh(t, least, top, page[0], page[3] >= pair or page[4] >= lines or page[8] >= runs)
+                least, top, pair, lines, runs, separators, links = limits.get(page[0], (0.1, TOP_LEAST, PAIR_LEAST, SAID_LEAST, SAID_LEAST, SEPARATOR_LEAST, LINK_SHARE))
+                stuffed, sentences = weigh(t, least, top, page[0], page[3] >= pair or page[4] >= lines or page[8] >= runs, separators, links)
                 if stuffed >= STUFFED_WORDS and stuffed >= STUFFED_SHARE * (stuffed + sentences):
                     keep.append(k)
                     rows.append((*page[:8], stuffed / (stuffed + sentences)))
