@@ -28,7 +28,18 @@ filled AS (
     ]) AS has
   FROM members),
 ranked AS (SELECT group_id, field, track_id, row_number() OVER (PARTITION BY group_id, field ORDER BY features_version DESC NULLS LAST, analyzed_at DESC NULLS LAST, track_id) AS n FROM filled WHERE has)
-SELECT group_id, field, track_id FROM ranked WHERE n = 1
+"""
+
+_P1_CONSISTENT = """, tied AS (SELECT * FROM filled WHERE has AND field IN ('embedding', 'feel', 'rhythm')),
+firsts AS (SELECT * FROM tied QUALIFY row_number() OVER (PARTITION BY group_id, field, features_version ORDER BY analyzed_at DESC NULLS LAST, track_id) = 1),
+placed AS (SELECT group_id, field, track_id, features_version AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY group_id, field) AS n FROM firsts
+  WINDOW w AS (PARTITION BY group_id, field ORDER BY features_version DESC NULLS LAST, analyzed_at DESC NULLS LAST, track_id)),
+choices AS (SELECT DISTINCT group_id, v FROM placed), fields AS (SELECT DISTINCT group_id, field, n FROM placed),
+costs AS (SELECT c.group_id, c.v, f.field, coalesce(p.i, f.n) AS cost, p.track_id FROM choices c JOIN fields f USING (group_id) LEFT JOIN placed p ON p.group_id = c.group_id AND p.field = f.field AND p.v IS NOT DISTINCT FROM c.v),
+sums AS (SELECT group_id, v, sum(cost) AS total, list(cost ORDER BY field) AS each FROM costs GROUP BY group_id, v),
+won AS (SELECT group_id, v FROM sums QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY total, each) = 1)
+SELECT group_id, field, track_id FROM ranked WHERE n = 1 AND field NOT IN ('embedding', 'feel', 'rhythm')
+UNION ALL SELECT c.group_id, c.field, c.track_id FROM costs c JOIN won w ON w.group_id = c.group_id AND w.v IS NOT DISTINCT FROM c.v WHERE c.track_id IS NOT NULL
 """
 
 _P2 = f"""
@@ -49,7 +60,8 @@ QUALIFY row_number() OVER (PARTITION BY a.track_id ORDER BY round(list_cosine_si
 """
 
 ORACLE_SQL = {
-    "p1_found": _P1,
+    "p1_found": _P1 + "SELECT group_id, field, track_id FROM ranked WHERE n = 1",
+    "p1_consistent": _P1 + _P1_CONSISTENT,
     "p2_found": _P2 + "SELECT track_id, group_id FROM groups",
     "p2_sizes": _P2 + "SELECT members, count(*) AS groups FROM (SELECT group_id, count(*) AS members FROM groups GROUP BY group_id) GROUP BY members",
     "p5_found": _P5,

@@ -6,8 +6,9 @@ functional dependency (determinant -> bundles) says that the chosen rows of thos
 cheapest consistent choice.
 
 Only candidates that can win reach the search: of the rows with equal determinant the most trusted one (a less trusted row with the same
-determinant can replace no other). That is an aggregation with map-side combine, so a group of any size arrives as a short list: one candidate a
-bundle without dependencies, else one a value of the determinants.
+determinant can replace no other). That is an aggregation with map-side combine: a group of any size arrives with one candidate a bundle without
+dependencies, else one a value of the determinants. So a determinant must have few values in a group (a features version has); every bundle,
+tied or not, is chosen by the search, and sets of bundles that share no dependency are searched apart.
 """
 
 from __future__ import annotations
@@ -33,43 +34,63 @@ class Bundle:
     agrees: tuple[str, ...] = field(default=())
 
 
+def _together(agrees: list[tuple[int, ...]]) -> list[list[int]]:
+    """Bundles in sets that share no dependency with each other: each set is a search of its own."""
+    sets: list[tuple[set[int], list[int]]] = []
+    for b, mine in enumerate(agrees):
+        touched = [s for s in sets if s[0] & set(mine)]
+        sets = [s for s in sets if s not in touched]
+        sets.append((set(mine).union(*(s[0] for s in touched)), sorted([b, *(x for s in touched for x in s[1])])))
+    return [bundles for _, bundles in sets]
+
+
 def search(costs: list[list[tuple]], agrees: list[tuple[int, ...]], n: int) -> list[int]:
     """Branch and bound. costs[b]: the candidates of bundle b in order of trust, each with its determinants (one a dependency, only those in
-    agrees[b] count). Returns the chosen index of each bundle, or -1 for none. Of equally cheap choices the first in lexicographic order wins."""
-    total = len(costs)
-    # The bound of a branch: what is spent, and nothing for the bundles to come (their first candidate costs 0).
-    best_cost, best = float("inf"), [-1] * total
+    agrees[b] count). Returns the chosen index of each bundle, or -1 for none. Of equally cheap choices the first in lexicographic order wins.
+
+    The bound of a branch is what is spent and, for each bundle to come, the first candidate that agrees with what is fixed so far: no choice
+    below the branch can cost less."""
+    chosen = [-1] * len(costs)
+    for bundles in _together(agrees):
+        picks = _branch([costs[b] for b in bundles], [agrees[b] for b in bundles], n)
+        for b, i in zip(bundles, picks):
+            chosen[b] = i
+    return chosen
+
+
+def _branch(costs: list[list[tuple]], agrees: list[tuple[int, ...]], n: int) -> list[int]:
+    total, best_cost, best = len(costs), float("inf"), [-1] * len(costs)
     chosen, fixed = [-1] * total, [None] * n
-    # Bundles without a dependency are settled by their first candidate; the search only branches over the others.
-    free = [b for b in range(total) if not agrees[b]]
-    tied = [b for b in range(total) if agrees[b]]
-    for b in free:
-        chosen[b] = 0 if costs[b] else -1
 
-    def branch(k: int, spent: int) -> None:
+    def allowed(b: int, i: int) -> bool:
+        return all(fixed[d] is None or fixed[d] == (costs[b][i][d],) for d in agrees[b])
+
+    def ahead(k: int) -> int:
+        return sum(next((i for i in range(len(costs[b])) if allowed(b, i)), len(costs[b])) for b in range(k, total))
+
+    def visit(k: int, spent: int) -> None:
         nonlocal best_cost, best
-        if spent >= best_cost:
-            return
-        if k == len(tied):
-            best_cost, best = spent, chosen.copy()
+        if k == total:
+            if spent < best_cost:
+                best_cost, best = spent, chosen.copy()
             return
-        b = tied[k]
-        for i, determinants in enumerate(costs[b]):
-            if spent + i >= best_cost:
-                return
-            mine = [(d, determinants[d]) for d in agrees[b]]
-            if any(fixed[d] is not None and fixed[d] != (v,) for d, v in mine):
+        for i in [*range(len(costs[k])), -1]:
+            cost = len(costs[k]) if i < 0 else i
+            if spent + cost >= best_cost:
+                continue
+            if i >= 0 and not allowed(k, i):
                 continue
             before = fixed.copy()
-            for d, v in mine:
-                fixed[d] = (v,)
-            chosen[b] = i
-            branch(k + 1, spent + i)
+            if i >= 0:
+                for d in agrees[k]:
+                    fixed[d] = (costs[k][i][d],)
+            chosen[k] = i
+            if spent + cost + ahead(k + 1) < best_cost:
+                visit(k + 1, spent + cost)
             fixed[:] = before
-        chosen[b] = -1
-        branch(k + 1, spent + len(costs[b]))
+        chosen[k] = -1
 
-    branch(0, 0)
+    visit(0, 0)
     return best
 
 
