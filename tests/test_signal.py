@@ -50,3 +50,24 @@ def test_frames_pool_and_windows(spark):
     assert [f[0] for f in got[0]["f"]] == [0, 2, 4, 6] and got[1]["f"] == []
     assert got[0]["p"] == pytest.approx([0.5, 3.0, 5.5, 8.0]) and got[1]["p"] == [1.0]
     assert [x[0] for x in got[0]["x"]] == [0, 3, 6] and got[1]["x"] == [[1.0] * 4]
+
+
+def test_band_filters_against_the_rule_frame_by_frame():
+    """Overlap-add written out; stop and solo add up to the wave; a band too narrow for a bin stops nothing."""
+    rng = np.random.default_rng(0)
+    x, rate, size = rng.standard_normal(5_000), 8_000, 512
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    gain = np.ones(size // 2 + 1)
+    inside = [k for k in range(len(gain)) if 1_000 <= k * rate / size <= 1_200]
+    for k in range(len(gain)):
+        away = max(inside[0] - k, k - inside[-1], 0)
+        gain[k] = 0.5 * (1 - np.cos(np.pi * away / 5)) if away < 5 else 1
+    padded = np.concatenate([np.zeros(size), x, np.zeros(2 * size)])
+    out, weight = np.zeros(len(padded)), np.zeros(len(padded))
+    for at in range(0, len(padded) - size + 1, size // 2):
+        out[at : at + size] += np.fft.irfft(np.fft.rfft(padded[at : at + size] * window) * gain, size)
+        weight[at : at + size] += window
+    want = (out / np.where(weight > 1e-8, weight, 1))[size : size + len(x)]
+    stop, solo = S.band_stop(x, rate, 1_000, 1_200, size), S.band_solo(x, rate, 1_000, 1_200, size)
+    assert np.allclose(stop, want) and np.allclose(stop + solo, x)
+    assert np.array_equal(S.band_stop(x, rate, 1_001, 1_002, size), x)

@@ -177,9 +177,17 @@ def cache_live(spark, d):
     return table(spark, d, "cache_entries").filter(F.col("value_json").isNotNull() & fresh & F.startswith("cache_id", F.lit("attr:"))).select("cache_id", F.expr("try_parse_json(value_json) IS NOT NULL").alias("valid"))
 
 
-@query("SELECT track_id, lower(regexp_replace(base64(embedding), '[^A-Za-z]', '', 'g')) AS code FROM tracks WHERE embedding IS NOT NULL")
+_F32 = """h AS (SELECT track_id, hex(embedding) AS h, scale::DOUBLE AS scale FROM tracks WHERE octet_length(embedding) > 0 AND scale > 0 AND scale < 1e30),
+  f AS (SELECT track_id, list_transform(range(len(h) // 2), lambda i: (CASE WHEN ('0x' || h[2*i+1:2*i+2])::INT > 127 THEN ('0x' || h[2*i+1:2*i+2])::INT - 256 ELSE ('0x' || h[2*i+1:2*i+2])::INT END * scale)::FLOAT::DOUBLE) AS x FROM h),
+  e AS (SELECT track_id, list_transform(x, lambda v: struct_pack(v := v, e := CASE WHEN v = 0 THEN 0 ELSE floor(log2(abs(v)) + 1e-12)::INT END)) AS x FROM f),
+  n AS (SELECT track_id, list_transform(x, lambda p: CASE WHEN p.v = 0 THEN 0 ELSE (CASE WHEN p.v < 0 THEN 2147483648 ELSE 0 END) + (p.e + 127) * 8388608 + round((abs(p.v) / pow(2, p.e) - 1) * 8388608)::BIGINT END) AS x FROM e)"""
+
+
+@query(f"WITH {_F32} SELECT track_id, base64(unhex(array_to_string(list_transform(x, lambda b: printf('%02X%02X%02X%02X', (b & 255)::INT, ((b >> 8) & 255)::INT, ((b >> 16) & 255)::INT, ((b >> 24) & 255)::INT)), ''))) AS code FROM n")
 def vector_export(spark, d):
-    return _tracks(spark, d).filter("embedding IS NOT NULL").select("track_id", F.lower(F.regexp_replace(F.base64("embedding"), "[^A-Za-z]", "")).alias("code"))
+    """Vectors as base64 of little-endian float32."""
+    rows = _tracks(spark, d).filter("octet_length(embedding) > 0 AND scale > 0 AND scale < 1e30").select("track_id", "embedding", "scale")
+    return C.export_f32(rows, "track_id", "embedding", "scale")
 
 
 @query("SELECT a.track_id, CASE WHEN t.track_id IS NULL THEN 'new' ELSE 'known' END AS state FROM (SELECT DISTINCT track_id FROM arrivals) a LEFT JOIN tracks t USING (track_id)")
@@ -188,14 +196,18 @@ def arrivals_known(spark, d):
     return new.join(_tracks(spark, d).select("track_id", F.lit("known").alias("state")), "track_id", "left").select("track_id", F.coalesce("state", F.lit("new")).alias("state"))
 
 
-@query("""SELECT DISTINCT a.track_id FROM arrivals a WHERE NOT EXISTS (SELECT 1 FROM tracks t WHERE t.track_id = a.track_id AND t.analyzed_at IS NOT NULL)
-  AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.job_id = 'embed:' || a.track_id AND j.state = 'failed') AND (a.dedupe_key IS NULL OR NOT EXISTS (SELECT 1 FROM tracks t WHERE t.dedupe_key = a.dedupe_key AND t.duplicate_of IS NULL))""")
+@query("""SELECT track_id FROM (SELECT a.track_id, row_number() OVER (PARTITION BY coalesce('k:' || a.dedupe_key, 'i:' || a.track_id) ORDER BY a.arrival_id) AS n FROM arrivals a
+  WHERE NOT EXISTS (SELECT 1 FROM tracks t WHERE t.track_id = a.track_id AND t.analyzed_at IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.job_id = 'embed:' || a.track_id AND j.state = 'failed')
+  AND (a.dedupe_key IS NULL OR NOT EXISTS (SELECT 1 FROM tracks t WHERE t.dedupe_key = a.dedupe_key AND t.duplicate_of IS NULL))) WHERE n = 1""")
 def admission(spark, d):
-    """Arrivals whose id is not analysed, whose analysis has not failed and whose key no live row has: three anti joins."""
-    a, t = table(spark, d, "arrivals").select("track_id", "dedupe_key"), _tracks(spark, d)
-    failed = table(spark, d, "jobs").filter("state = 'failed'").select(F.expr("substring(job_id, 7)").alias("track_id"), "job_id").filter(F.startswith("job_id", F.lit("embed:"))).select("track_id")
+    """Arrivals whose id is not analysed, whose analysis has not failed and whose key no live row has: three anti joins, in this order. Of those left
+    the first of each key; what was filtered before claims no key."""
+    a, t = table(spark, d, "arrivals").select("arrival_id", "track_id", "dedupe_key"), _tracks(spark, d)
+    failed = table(spark, d, "jobs").filter("state = 'failed'").filter(F.startswith("job_id", F.lit("embed:"))).select(F.expr("substring(job_id, 7)").alias("track_id"))
     out = a.join(t.filter("analyzed_at IS NOT NULL").select("track_id"), "track_id", "left_anti").join(failed, "track_id", "left_anti")
-    return out.join(t.filter("duplicate_of IS NULL AND dedupe_key IS NOT NULL").select("dedupe_key"), "dedupe_key", "left_anti").select("track_id").distinct()
+    out = out.join(t.filter("duplicate_of IS NULL AND dedupe_key IS NOT NULL").select("dedupe_key"), "dedupe_key", "left_anti")
+    claimed = F.coalesce(F.concat(F.lit("k:"), "dedupe_key"), F.concat(F.lit("i:"), "track_id"))
+    return out.groupBy(claimed.alias("claimed")).agg(F.min_by("track_id", "arrival_id").alias("track_id")).select("track_id")
 
 
 @query("""SELECT track_id FROM tracks EXCEPT SELECT track_id FROM arrivals""")

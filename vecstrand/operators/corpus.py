@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +99,15 @@ def text_search(tracks: DataFrame, needle: str) -> DataFrame:
     return tracks.filter(F.contains(F.lower("title"), F.lit(lower)) | F.contains(F.lower("artist"), F.lit(lower)) | F.contains(F.lower("album"), F.lit(lower)))
 
 
+
+def export_f32(df: DataFrame, key: str, binary: str, scale: str) -> DataFrame:
+    """(key, code): int8 vectors, scaled, as base64 of little-endian float32."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [(np.frombuffer(v, np.int8) * np.float64(s)).astype("<f4").tobytes() for v, s in zip(b.column(1), b.column(2).to_pylist()) for v in (v.as_buffer(),)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["key", "raw"])
+
+    out = df.select(F.col(key).alias("key"), binary, scale).mapInArrow(run, f"key {kind}, raw binary")
+    return out.select(F.col("key").alias(key), F.translate(F.base64("raw"), "\r\n", "").alias("code"))

@@ -100,23 +100,52 @@ def mel_spectrogram(df: DataFrame, key: str, wave: str, rate: int, size: int = S
     return df.select(F.col(key).alias("key"), F.col(wave).cast("array<double>").alias("w")).mapInArrow(run, f"key {kind}, frame long, band long, db double").withColumnRenamed("key", key)
 
 
-def band_stop(x: np.ndarray, rate: int, low: float, high: float, size: int = 2048) -> np.ndarray:
-    """The wave without a band: frames of a periodic Hann window at half overlap, raised-cosine edges, original phase, overlap-add normalized."""
-    if high <= low or not len(x):
-        return x
+#: Bins over which a band's edge fades, whatever the band's width, so that stop and solo stay complements.
+TAPER = 4
+
+
+def stop_gain(bins: int, rate: float, size: int, low: float, high: float, taper: int = TAPER) -> Column:
+    """Gain of each bin: 0 in the band, 1 beyond its edges, in between a raised cosine of the distance in bins. A band without a bin stops nothing."""
+    first, last = F.ceil(F.lit(float(low)) * size / rate), F.floor(F.lit(float(high)) * size / rate)
+    away = lambda k: F.least(F.greatest(first - k, k - last, F.lit(0)), F.lit(taper + 1))
+    gain = lambda k: F.when((first > last) | (last < 0) | (first >= bins), 1.0).otherwise(0.5 - 0.5 * F.cos(np.pi * away(k) / (taper + 1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), gain)
+
+
+def _stop_gain(size: int, rate: float, low: float, high: float, taper: int) -> np.ndarray | None:
+    """As stop_gain; None where nothing is stopped."""
+    bins = np.arange(size // 2 + 1)
+    inside = np.flatnonzero((bins * rate / size >= low) & (bins * rate / size <= high))
+    if not len(inside):
+        return None
+    away = np.maximum(np.maximum(inside[0] - bins, bins - inside[-1]), 0)
+    return 0.5 - 0.5 * np.cos(np.pi * np.minimum(away, taper + 1) / (taper + 1))
+
+
+def _filtered(x: np.ndarray, gain: np.ndarray, size: int) -> np.ndarray:
+    """Frames of a periodic Hann window at half overlap, which sum to one wherever two frames lie, weighted by bin, with their phase, and added up
+    again. A frame of silence at either end puts every sample under two frames."""
     hop = size // 2
-    padded = np.concatenate([np.zeros(size), x, np.zeros(2 * size)])
+    padded = np.concatenate([np.zeros(size), x, np.zeros(size + -len(x) % hop)])
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-    hz = np.fft.rfftfreq(size, 1 / rate)
-    edge = max((high - low) * 0.1, rate / size)
-    gain = np.clip(np.maximum((low + edge - hz) / edge, (hz - (high - edge)) / edge), 0, 1)
-    gain = 0.5 - 0.5 * np.cos(np.pi * gain)
-    out, weight = np.zeros(len(padded)), np.zeros(len(padded))
-    for at in range(0, len(padded) - size + 1, hop):
-        frame = padded[at : at + size] * window
-        out[at : at + size] += np.fft.irfft(np.fft.rfft(frame) * gain, size) * window
-        weight[at : at + size] += window**2
-    return (out / np.where(weight > 1e-8, weight, 1))[size : size + len(x)]
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * window
+    halves = np.fft.irfft(np.fft.rfft(frames, axis=1) * gain, size, axis=1).reshape(len(frames), 2, hop)
+    out = np.zeros((len(frames) + 1, hop))
+    out[:-1] += halves[:, 0]
+    out[1:] += halves[:, 1]
+    return out.ravel()[size : size + len(x)]
+
+
+def band_stop(x: np.ndarray, rate: int, low: float, high: float, size: int = 2048, taper: int = TAPER) -> np.ndarray:
+    """The wave without a band; as it was if there is nothing to remove."""
+    gain = _stop_gain(size, rate, low, high, taper) if high > low and len(x) else None
+    return x if gain is None else _filtered(np.asarray(x, float), gain, size)
+
+
+def band_solo(x: np.ndarray, rate: int, low: float, high: float, size: int = 2048, taper: int = TAPER) -> np.ndarray:
+    """The band alone: what band_stop takes out. A band without a bin leaves the wave as it is."""
+    gain = _stop_gain(size, rate, low, high, taper) if high > low and len(x) else None
+    return x if gain is None else _filtered(np.asarray(x, float), 1 - gain, size)
 
 
 def attribution(df: DataFrame, key: str, wave: str, rec: str, rate: int, edges: list[float], embed: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
