@@ -299,6 +299,16 @@ def test_leaks_without_items_or_documents(spark):
     assert leaks.leaks(some, items.filter("false")).count() == 0
 
 
+def test_walks_reach_the_target_recall():
+    n, rng = leaks.walks(), np.random.default_rng(5)
+    windows = rng.integers(1, 1 << 62, size=(2_000, leaks.WINDOW)).astype(np.uint64)
+    altered = leaks.edited(windows, leaks.WINDOW // leaks.EDIT_EACH, rng)
+    met = (leaks.walk_keys(windows) == leaks.walk_keys(altered)).any(axis=1).mean()
+    assert met >= leaks.TARGET - 0.02 and leaks.walks.__wrapped__(0.8) < n
+    with pytest.raises(ValueError, match="walks reach"):
+        leaks.walks.__wrapped__(1.0, most=2)
+
+
 def test_leak_recall_against_brute_force(data, spark):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     items = spark.read.parquet(f"{data}/eval_items.parquet")

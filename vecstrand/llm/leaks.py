@@ -3,7 +3,7 @@
 Texts are reduced to words that restyling leaves alone (case, marks, markup, invisible and look-alike characters). Every window of a passage and
 of a document goes through the CGK random walk, which copies the word under its pointer and moves on by a coin that depends on step and word:
 two windows a few word edits apart fall back into step, so edit distance becomes Hamming distance. Sampled steps of several walks are the keys
-of the locality-sensitive hash; REPEATS walks of SAMPLES samples each reach the target recall. What collides is verified exactly: a chain of equal
+of the locality-sensitive hash; as many walks of SAMPLES samples each are taken as reach the target recall. What collides is verified exactly: a chain of equal
 runs, broken only by single edits, with at least NEED equal words.
 
 The corpus is only mapped: the items' keys, at most PASS_WORDS words a pass, are broadcast, and larger item sets take several passes. No document
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 WINDOW, NEED, COMMON = 12, 15, 10
 #: Words of the passage for each edit; matching words that an edit needs on either side.
 EDIT_EACH, RUN = 6, 2
-#: Random walks, samples of each, steps in a sample.
-REPEATS, SAMPLES, STEPS = 4, 5, 4
+#: Samples of a random walk, steps in a sample; share of the windows with as many edits as they may have that must meet their like. The number of
+#: walks follows from it.
+SAMPLES, STEPS, TARGET = 5, 4, 0.95
 #: Words of passages in one pass over the corpus.
 PASS_WORDS = 400_000
 
@@ -69,13 +70,14 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def walk_keys(windows: np.ndarray, seed: int = 11) -> np.ndarray:
-    """windows x (REPEATS * SAMPLES): the hash keys of windows of word numbers."""
+def walk_keys(windows: np.ndarray, repeats: int | None = None, seed: int = 11) -> np.ndarray:
+    """windows x (walks * SAMPLES): the hash keys of windows of word numbers."""
     n, width = windows.shape
+    repeats = walks() if repeats is None else repeats
     rng = np.random.default_rng(seed)
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
     rows, out = np.arange(n), []
-    for r in range(REPEATS):
+    for r in range(repeats):
         # Steps beyond twice the width mostly read the padding: the pointer moves on every other step.
         picks = [np.sort(rng.choice(2 * width - 2, STEPS, replace=False)) for _ in range(SAMPLES)]
         at = np.zeros(n, np.int64)
@@ -90,6 +92,31 @@ def walk_keys(windows: np.ndarray, seed: int = 11) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def edited(windows: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """Each window after so many random edits of single words, cut or padded to its width."""
+    out = np.zeros_like(windows)
+    for row, window in enumerate(windows):
+        words = window.tolist()
+        for _ in range(edits):
+            i, kind = int(rng.integers(len(words))), int(rng.integers(3))
+            words[i : i + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
+        words = words[: len(window)]
+        out[row, : len(words)] = words
+    return out
+
+
+@lru_cache(1)
+def walks(target: float = TARGET, tried: int = 2_000, most: int = 32) -> int:
+    """The least number of walks with which windows meet their like with WINDOW // EDIT_EACH edits as often as the target says, on random windows."""
+    rng = np.random.default_rng(17)
+    windows = rng.integers(1, 1 << 62, size=(tried, WINDOW)).astype(np.uint64)
+    equal = (walk_keys(windows, most) == walk_keys(edited(windows, WINDOW // EDIT_EACH, rng), most)).reshape(tried, most, SAMPLES).any(axis=2)
+    recall = np.logical_or.accumulate(equal, axis=1).mean(axis=0)
+    if recall[-1] < target:
+        raise ValueError(f"{most} walks reach a recall of {recall[-1]:.3f}, not {target}")
+    return int(np.argmax(recall >= target)) + 1
+
+
 def chain(doc: list, passage: list, j: int, i: int) -> tuple[int, int]:
     """(words of the passage, edits) of the longest chain through the equal words doc[j] and passage[i]."""
 
