@@ -67,9 +67,9 @@ def test_euclidean_centrality_is_of_all_rows(spark, tmp_path):
     x = rng.integers(-127, 128, (8_300, 64)).astype(np.int8)
     x[:40] = x[40:80]
     schema = "track_id string, title string, artist string, dedupe_key string, feel array<double>, rhythm struct<tempo_bpm double>, analyzed_at timestamp_ntz, duplicate_of string, features_version int, embedding binary, scale float"
-    ids = spark.createDataFrame([(f"{i:04d}", None, None, None, [0.5] * 8, (100.0,), None, None, 4, bytearray(v.tobytes()), 0.1) for i, v in enumerate(x)], schema)
+    ids = spark.createDataFrame([(f"{i:04d}", None, None, None, [0.5] * 8, (100.0,), None, None, 4, bytearray(v.tobytes()), 0.01 + 0.001 * (i % 40 % 7)) for i, v in enumerate(x)], schema)
     ids.withColumn("analyzed_at", F.lit("2026-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/tracks.parquet")
-    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    u = x * np.float32([0.01 + 0.001 * (i % 40 % 7) for i in range(len(x))]).astype(float)[:, None]
     some = [0, 5, 45, 4_000, 8_299]
     want = [(1 / (1 + np.sqrt(((u - u[i]) ** 2).sum(axis=1)))).mean() for i in some]
     got = {r[0]: r[1] for r in QUERIES["centrality_euclid"](spark, str(tmp_path)).collect()}

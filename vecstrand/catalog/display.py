@@ -35,11 +35,10 @@ def view_ids(spark, d):
     return view.map_rows(lambda ids, unit, rows: [(ids[i],) for i in rows], "track_id string")
 
 
-@query(f"""WITH {SEED}, view AS (SELECT track_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM scored ORDER BY sim DESC, track_id LIMIT 8000)
-  SELECT a.track_id, round(avg(1 / (1 + list_distance(a.u, b.u))), 6) AS centrality FROM view a CROSS JOIN view b GROUP BY a.track_id""")
+@query(f"""WITH {SEED} SELECT a.track_id, round(avg(1 / (1 + list_distance(a.vec, b.vec))), 6) AS centrality FROM corpus a CROSS JOIN corpus b GROUP BY a.track_id""")
 def centrality_euclid(spark, d):
-    """Mean euclidean similarity with all usable rows, itself included. The SQL stops at the 8,000 rows nearest to a seed."""
-    rows = usable(live(table(spark, d, "tracks"))).select("track_id", "embedding")
+    """Mean euclidean similarity of the scaled vectors with all usable rows, itself included."""
+    rows = usable(live(table(spark, d, "tracks"))).select("track_id", "embedding", "scale")
     return R.euclidean_centrality(rows).withColumn("centrality", F.round("centrality", 6))
 
 

@@ -138,7 +138,7 @@ def tour_projection(spark, d):
 
 
 @query(f"""WITH RECURSIVE {SEED.split(', seed AS')[0]}, t AS (SELECT c.track_id, k.artist, coalesce(c.analyzed_at, TIMESTAMP '1970-01-01') AS stamp, c.vec FROM corpus c JOIN tracks k USING (track_id) WHERE k.artist IS NOT NULL),
-  small AS (SELECT artist FROM t GROUP BY artist HAVING count(*) <= 500), o AS (SELECT t.*, row_number() OVER (PARTITION BY artist ORDER BY stamp, track_id) AS n FROM t JOIN small USING (artist)),
+  small AS (SELECT artist FROM t GROUP BY artist), o AS (SELECT t.*, row_number() OVER (PARTITION BY artist ORDER BY stamp, track_id) AS n FROM t JOIN small USING (artist)),
   near AS (SELECT a.artist, a.n, b.n AS m FROM o a JOIN o b ON a.artist = b.artist AND b.n < a.n AND list_cosine_similarity(a.vec, b.vec) > 0.995),
   fold(artist, n, marked) AS (SELECT artist, 0::BIGINT, MAP([]::BIGINT[], []::BIGINT[]) FROM small
     UNION ALL SELECT f.artist, f.n + 1, CASE WHEN p.m IS NULL THEN f.marked ELSE map_concat(f.marked, MAP([f.n + 1], [p.m])) END

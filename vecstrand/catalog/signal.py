@@ -62,10 +62,10 @@ def ssm_pool(spark, d):
     return _waves(spark, d).select("id", F.transform(G.pool("wave", 10), lambda x: F.round(x, 6) + 0.0).alias("pooled"))
 
 
-@query(f"""WITH {_WAVES}, cols AS (SELECT id, c, wave[c * 16 + 1 : c * 16 + 16] AS v FROM waves, range(0, 8) t(c)) SELECT a.id, a.c AS a, b.c AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM cols a JOIN cols b ON a.id = b.id""")
+@query(f"""WITH {_WAVES}, cols AS (SELECT id, c, wave[c * 16 + 1 : c * 16 + 16] AS v FROM waves, range(0, 16) t(c)) SELECT a.id, a.c AS a, b.c AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM cols a JOIN cols b ON a.id = b.id""")
 def ssm_gram(spark, d):
-    """Self-similarity of the first eight columns of each wave."""
-    cols = _waves(spark, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("c"), "wave").select("id", F.col("c").cast("long").alias("c"), F.slice("wave", F.col("c") * 16 + 1, 16).alias("v"))
+    """Self-similarity of the sixteen columns of each wave."""
+    cols = _waves(spark, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("c"), "wave").select("id", F.col("c").cast("long").alias("c"), F.slice("wave", F.col("c") * 16 + 1, 16).alias("v"))
     return G.self_similarity(cols, "id", "c", "v").withColumn("cosine", F.round("cosine", 5))
 
 

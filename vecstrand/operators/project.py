@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecstrand.functions import vector as V
+from vecstrand.plans.durable import Scratch
 
 COMPONENTS = 8
 
@@ -54,7 +55,9 @@ def coordinates(m: DataFrame, width: int = 64, components: int = COMPONENTS) ->
     offsets = mean @ directions
     rows = m.withColumn("unit", V.unit(F.col("vec")))
     raw = rows.select("track_id", F.array(*[V.dot(F.col("unit"), a) - float(o) for a, o in zip(axes, offsets)]).alias("coords"))
-    signs = raw.agg(*[F.max_by(F.signum(F.get("coords", F.lit(c))), F.struct(F.abs(F.get("coords", F.lit(c))), F.lit(0))).alias(f"s{c}") for c in range(components)])
+    # Read twice or more by whoever asks: projected once.
+    raw = Scratch(m.sparkSession, "coordinates").save(raw)
+    signs = raw.agg(*[F.min_by(F.signum(F.get("coords", F.lit(c))), F.struct(-F.abs(F.get("coords", F.lit(c))), "track_id")).alias(f"s{c}") for c in range(components)])
     flipped = raw.crossJoin(F.broadcast(signs))
     return flipped.select("track_id", F.array(*[F.get("coords", F.lit(c)) * F.when(F.col(f"s{c}") < 0, -1.0).otherwise(1.0) for c in range(components)]).alias("coords")), fractions
 

@@ -73,28 +73,30 @@ _TILE = (128, 1_024)
 
 
 def euclidean_centrality(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """rows(track_id, embedding) of equal width, not all zero -> (track_id, centrality): mean euclidean similarity of the directions with all rows,
-    itself included. No identity shortens it: blocks meet in pairs, each pair once, and only sums leave a task."""
+    """rows(track_id, embedding, scale) of equal width -> (track_id, centrality): mean euclidean similarity of the scaled vectors with all rows, itself
+    included. No identity shortens it: blocks meet in pairs, each pair once, and only sums leave a task."""
     n = rows.count()
     blocks = max(1, -(-n // block))
-    paired = in_pairs(rows.select("track_id", "embedding"), "track_id", F.lit(blocks)).select("unit", "a", "track_id", "embedding")
+    paired = in_pairs(rows.select("track_id", "embedding", "scale"), "track_id", F.lit(blocks)).select("unit", "a", "track_id", "embedding", "scale")
     laid = paired.repartition(min(blocks * (blocks + 1) // 2, 2_000), "unit").sortWithinPartitions("unit")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in units(batches, 1):
             ids, a = table.column("track_id").to_pylist(), table.column("a").to_numpy()
             x = np.frombuffer(b"".join(table.column("embedding").to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x *= table.column("scale").to_numpy().astype(np.float64)[:, None]
+            square = (x * x).sum(axis=1)
             low, high = divmod(table.column("unit")[0].as_py(), blocks)
             left, right = np.flatnonzero(a == low), np.flatnonzero(a == high)
             total, u, v = np.zeros(len(ids)), x[left], x[right]
             for i in range(0, len(left), _TILE[0]):
                 for j in range(0, len(right), _TILE[1]):
+                    both = square[left[i : i + _TILE[0]], None] + square[right[j : j + _TILE[1]]]
                     gaps = u[i : i + _TILE[0]] @ v[j : j + _TILE[1]].T
                     gaps *= -2
-                    gaps += 2
-                    # Directions that are equal are at no distance; the difference would leave a trace of rounding.
-                    gaps[gaps < 1e-14] = 0
+                    gaps += both
+                    # Vectors that are equal are at no distance; the difference would leave a trace of rounding.
+                    gaps[gaps < 1e-14 * both] = 0
                     np.sqrt(gaps, out=gaps)
                     gaps += 1
                     np.reciprocal(gaps, out=gaps)

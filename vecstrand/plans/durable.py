@@ -38,15 +38,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/vecstrand/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
         self._n = 0
+        # What a query leaves for its reader goes when the session ends.
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._vecstrand_path = path
         return out
 
@@ -60,6 +63,3 @@ class Scratch:
     def exists(self, path: str) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-
-    def clear(self) -> None:
-        _remove(self.spark, self.root)
