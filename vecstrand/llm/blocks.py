@@ -1,39 +1,11 @@
-"""Streaming over sorted groups in an Arrow task, and the vector arithmetic shared by the search operators.
-
-Tasks read rows sorted by key and hand on one whole group at a time, so a task holds its largest group and one batch, never a partition. Callers
-keep groups under a bound by splitting large ones into blocks before the shuffle.
-"""
+"""The vector arithmetic shared by the search operators."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
 
-def scan_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(key, rows) for each run of equal values in column 0, an int64 without nulls, by which the rows are sorted."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and held[0].column(0)[0].as_py() != keys[a]:
-                yield _joined(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield _joined(held)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
-    one = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-    return one.column(0)[0].as_py(), one
-
-
 def vectors(column: pa.Array, width: int) -> np.ndarray:
     """Binary values of equal width, without nulls, as a float32 matrix. Products of two int8 vectors of up to 1,000 values are exact in it."""
     if not len(column):

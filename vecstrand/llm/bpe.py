@@ -96,14 +96,16 @@ def _encoder(raw: bytes) -> Encoder:
     return _encoders[key]
 
 
-def _vocabulary(df: DataFrame, path: str):
+def _vocabulary(df: DataFrame, path: str | None):
+    """The vocabulary at path, or where the session's spark.vecstrand.vocabulary says, or VOCABULARY."""
+    path = path or df.sparkSession.conf.get("spark.vecstrand.vocabulary", VOCABULARY)
     if os.path.getsize(path) > MAX_VOCABULARY:
         raise ValueError(f"{path} is no vocabulary: more than {MAX_VOCABULARY} bytes")
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode_corpus(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode_corpus(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, ids) of every row. The text is encoded as it stands, the names of special tokens as ordinary text.
 
     Defined cases: a null or an empty text has no ids (an empty list, never null); blank texts are encoded like any other; a null id stays null;
@@ -126,7 +128,7 @@ def encode_corpus(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     return df.select(df[id_column].alias("i"), df[text].alias("t")).mapInArrow(run, f"i {kind}, ids array<int>").withColumnRenamed("i", id_column)
 
 
-def decode_corpus(df: DataFrame, id_column: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+def decode_corpus(df: DataFrame, id_column: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """(id, text): the bytes of the ids, read as UTF-8. Null ids give a null text."""
     shared = _vocabulary(df, vocabulary)
 
