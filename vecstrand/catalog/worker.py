@@ -61,13 +61,13 @@ def edge_scores(spark, d):
 
 
 @query(f"""WITH {_EDGES}, nodes AS (SELECT a AS id FROM e UNION SELECT b FROM e)
-  SELECT 'node' AS part, '{{"id":"' || id || '","title":"' || coalesce(replace(replace(t.title, '\\', '\\\\'), '"', '\\"'), '') || '"}}' AS line FROM nodes JOIN tracks t ON t.track_id = nodes.id WHERE t.title IS NULL OR regexp_full_match(t.title, '[ -~]*')
+  SELECT 'node' AS part, '{{"id":' || to_json(id)::VARCHAR || ',"title":' || to_json(coalesce(t.title, ''))::VARCHAR || '}}' AS line FROM nodes JOIN tracks t ON t.track_id = nodes.id
   UNION ALL SELECT 'edge', '{{"source":"' || a || '","target":"' || b || '","score":' || round(score * 10000)::BIGINT || '}}' FROM e""")
 def graph_export(spark, d):
-    """The match graph as JSON lines, nodes and edges (scores in ten-thousandths); nodes with a title beyond ASCII are left to the full export."""
+    """The match graph as JSON lines: nodes that are in the corpus, and edges (scores in ten-thousandths)."""
     e = _edges(spark, d)
     ids = e.select(F.col("a").alias("track_id")).union(e.select("b")).distinct()
-    titled = table(spark, d, "tracks").filter(F.col("title").isNull() | F.col("title").rlike("^[ -~]*$")).select("track_id", F.coalesce("title", F.lit("")).alias("title"))
+    titled = table(spark, d, "tracks").select("track_id", F.coalesce("title", F.lit("")).alias("title"))
     nodes = ids.join(titled, "track_id").select(F.lit("node").alias("part"), F.to_json(F.struct(F.col("track_id").alias("id"), "title")).alias("line"))
     edges = e.select(F.lit("edge").alias("part"), F.to_json(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), F.round(F.col("score") * 10000).cast("long").alias("score"))).alias("line"))
     return nodes.unionByName(edges)
