@@ -1,6 +1,8 @@
 """Vector search, new batches, names, leaks and stuffed pages."""
 
 import itertools
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -364,3 +366,31 @@ def test_nothing_else_imports_this_folder():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "vecstrand.llm" not in p.read_text(), p
+
+
+def test_titles_that_end_alike_do_not_meet():
+    """One common last word is no key: a key of it alone pairs all titles that have it."""
+    rng = random.Random(7)
+    titles = sorted({"".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5)) + " shoreline" for _ in range(600)})
+    keys, rows = names.blocking_keys("title", [names.read_title(t) for t in titles])
+    held = Counter(keys.tolist())
+    assert max(held.values()) < 30
+    for t in titles[:200]:
+        u = t.replace(" ", "")
+        for _ in range(5):
+            v = u
+            for _ in range(2):
+                i, c = rng.randrange(len(v)), rng.choice("aeioubdst")
+                v = rng.choice([v[:i] + c + v[i + 1 :], v[:i] + c + v[i:], v[:i] + v[i + 1 :], v[:i] + v[i : i + 2][::-1] + v[i + 2 :]])
+            if names.distance(u, v, 2) <= 2:
+                assert len(np.intersect1d(names.edit_keys([u], 2), names.edit_keys([v], 2))), (u, v)
+
+
+def test_letters_refuse_no_titles_that_match():
+    rng = random.Random(8)
+    words = ["ballad", "window", "shoreline", "orchard", "lantern", "meridian", "mn", "lntrn", "orchrd", "windw", "shorelien", "balled"]
+    nodes = [names.read_title(" ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))) for _ in range(150)]
+    left, right = np.triu_indices(len(nodes), 1)
+    may = names.titles_may_match(nodes, left, right)
+    found = np.array([names.title_match(nodes[i], nodes[j]) != "" for i, j in zip(left, right)])
+    assert found.any() and not (found & ~may).any() and (~may).any()

@@ -8,10 +8,10 @@ entity's, a title the words that most members of its entity have at each place.
 all. Rounds go on until none is new and nothing merges; more than MAX_ROUNDS are an error.
 
 Blocking meets every pair that the rules accept: keys are hashes of a text with up to two letters left out, which two texts within two edits always
-share (a swap of neighbours is one edit). Texts of over LONG letters give the same for their last letters, and with two edits there the first letters are
-as they were: their keys are the end with one letter left out, or the beginning with the end less two letters. No key depends on how often a word
-occurs or on the size of the corpus. Keys travel as two numbers; a key's profiles are paired as a sorted stream, and those of a key with more than
-UNIT in pairs of blocks, all of them.
+share (a swap of neighbours is one edit). Texts of over LONG letters give the same for their two ends, which no edit touches both of: their keys are
+both ends, with two letters left out of the one, of the other, or one of each. No key is of one end alone, as many pieces end with the same word. No
+key depends on how often a word occurs or on the size of the corpus. Keys travel as two numbers; a key's profiles are paired as a sorted stream, and
+those of a key with more than UNIT in pairs of blocks, all of them.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ UNIT = 256
 MAX_ROUNDS = 40
 #: Texts of up to SHORT letters have keys of the whole; those of over LONG letters (two fewer, so that lengths may differ) have keys of their ends.
 LONG, SHORT = 15, 17
-#: Letters of an end, and of the beginning beside it.
-END, START = 9, 5
+#: Letters of an end and of a beginning; with two more each they do not overlap in a text of over LONG letters.
+END, START = 6, 5
 #: Of two first names that differ by a vowel at the end, one is a slip only if so many times fewer surnames have it; and a profile without middle
 #: initial joins one of several entities only if that has so many times more spellings than the others together.
 RARER, LARGER = 8, 4
@@ -356,8 +356,10 @@ def edit_keys(texts: list[str], edits: int) -> np.ndarray:
     if n <= SHORT or edits < 2:
         keys += [_less(c, out) + np.uint64(0x51ED) * np.uint64(n - out) for out in range(min(edits, n) + 1)]
     if n > LONG and edits == 2:
-        keys.append(_less(c[:, -END - 1 :], 1) ^ np.uint64(0xA5A5))
-        keys.append(_less(c[:, -END - 2 :], 2) ^ _less(c[:, :START], 0) * _BASE)
+        for out in range(3):
+            start, end = _less(c[:, : START + out], out), _less(c[:, out - END - 2 :], 2 - out)
+            # A factor for each way: else leaving two letters out here would meet leaving one out on either side.
+            keys.append((start[:, :, None] * _POWERS[END + out + 1] + end[:, None, :] ^ np.uint64(0xA5A5 + out)).reshape(len(c), -1))
     return np.hstack(keys)
 
 
@@ -445,45 +447,47 @@ def _candidates(posted: DataFrame, scratch: Scratch) -> DataFrame:
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by key. (a, b, hot): pairs of a group of up to UNIT; of a larger one its rows, as (key, z)."""
-        key, held, hot = None, [], False
-        left, right, large = [], [], []
-
-        def close() -> None:
-            if not hot and len(held) > 1:
-                zs = np.unique(np.array(held))
-                i, j = _two(len(zs))
-                left.append(zs[i])
-                right.append(zs[j])
-
-        def out(a: list, b: list, flag: bool) -> pa.RecordBatch:
-            a, b = np.concatenate(a), np.concatenate(b)
+        # The last group so far: its rows, or its key alone once it is known to be large.
+        ks = zs = np.zeros(0, np.int64)
+        large = None
+
+        def out(a: np.ndarray, b: np.ndarray, flag: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), flag))], ["a", "b", "hot"])
 
-        for batch in batches:
-            ks, zs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero(ks[1:] != ks[:-1]) + 1).tolist(), len(ks)] if len(ks) else [0]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if ks[x] != key:
-                    close()
-                    key, held, hot = ks[x], [], False
-                elif y - x == 1 and not hot and len(held) < UNIT:
-                    held.append(zs[x])
+        def paired(starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for n in np.unique(sizes[sizes > 1]).tolist():
+                at = starts[sizes == n]
+                if n > UNIT:
+                    for x in at.tolist():
+                        yield out(ks[x : x + n], zs[x : x + n], True)
                     continue
-                if hot or len(held) + y - x > UNIT:
-                    rows = np.concatenate([np.array(held, np.int64), zs[x:y]])
-                    held, hot = [], True
-                    large.append((np.full(len(rows), key), rows))
-                else:
-                    held += zs[x:y].tolist()
-            if sum(map(len, left)) > 100_000:
-                yield out(left, right, False)
-                left.clear(), right.clear()
-            if large:
-                yield out([k for k, _ in large], [z for _, z in large], True)
-                large = []
-        close()
-        if left:
-            yield out(left, right, False)
+                i, j = _two(n)
+                step = max(1, 500_000 // len(i))
+                for x in range(0, len(at), step):
+                    rows = np.sort(zs[at[x : x + step, None] + np.arange(n)], axis=1)
+                    a, b = rows[:, i].ravel(), rows[:, j].ravel()
+                    # A row that is there twice is no pair.
+                    yield out(a[a != b], b[a != b], False)
+
+        for batch in batches:
+            k, z = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if large is not None:
+                n = int(np.searchsorted(k, large, "right"))
+                yield out(k[:n], z[:n], True)
+                k, z = k[n:], z[n:]
+            if not len(k):
+                continue
+            large = None
+            ks, zs = np.concatenate([ks, k]), np.concatenate([zs, z])
+            starts = np.concatenate([[0], np.flatnonzero(ks[1:] != ks[:-1]) + 1])
+            yield from paired(starts[:-1], np.diff(starts))
+            last = int(starts[-1])
+            ks, zs = ks[last:], zs[last:]
+            if len(ks) > UNIT:
+                yield out(ks, zs, True)
+                large, ks, zs = int(ks[0]), ks[:0], zs[:0]
+        if len(ks):
+            yield from paired(np.zeros(1, np.int64), np.array([len(ks)]))
 
     met = scratch.save(posted.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long, hot boolean").distinct())
     pairs = met.filter("NOT hot").select("a", "b")
@@ -499,6 +503,34 @@ def _candidates(posted: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each letter is in each text; letters may share a column."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(rows * 64 + codes, minlength=64 * len(texts)).reshape(-1, 64)
+
+
+def titles_may_match(nodes: list[tuple], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """False only where title_match of the two is "": by their letters, each of two texts has at most as many that the other lacks as there are
+    edits between them, and a short form has none."""
+    runs = [_run(x) for x, _, _ in nodes]
+    words = [[sound(w) for w in x.split()] for x, _, _ in nodes]
+    count, size = np.array([len(w) for w in words]), np.array([len(u) for u in runs])
+
+    def lacking(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        held = _letters(texts)
+        apart = held[left] - held[right]
+        return np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)
+
+    least = np.minimum(size[left], size[right])
+    most = np.where(least >= 9, 2, np.where(least >= 5, 1, 0))
+    may = np.zeros(len(left), bool)
+    for texts in (runs, [sound(u) for u in runs]):
+        may |= np.maximum(*lacking(texts)) <= most
+    over, under = lacking(["".join(w) for w in words])
+    return may | (count[left] == count[right]) & (count[left] > 1) & ((np.maximum(over, under) <= 1) | (np.minimum(over, under) == 0))
+
+
 def _compared(pairs: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
     """(a, b, kind) of the pairs that match. Each pair is compared once."""
     match, artist = _MATCH[field], field == "artist"
@@ -506,10 +538,14 @@ def _compared(pairs: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, kinds = [], []
-            for i, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))):
-                p, q = x.split(_SEP), y.split(_SEP)
+            one, two, n_one, n_two = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
+            at = {x: i for i, x in enumerate(dict.fromkeys([*one, *two]))}
+            read = [tuple(x.split(_SEP)) for x in at]
+            left, right = (np.array([at[x] for x in side], np.int64) for side in (one, two))
+            for i in range(len(one)) if artist else np.flatnonzero(titles_may_match(read, left, right)).tolist():
+                n, m = n_one[i], n_two[i]
                 slip = artist and max(n, m) >= RARER * min(n, m)
-                if kind := match(tuple(p), tuple(q), slip):
+                if kind := match(read[left[i]], read[right[i]], slip):
                     keep.append(i)
                     kinds.append(kind)
             take = pa.array(keep, pa.int64())
