@@ -71,3 +71,19 @@ def test_band_filters_against_the_rule_frame_by_frame():
     stop, solo = S.band_stop(x, rate, 1_000, 1_200, size), S.band_solo(x, rate, 1_000, 1_200, size)
     assert np.allclose(stop, want) and np.allclose(stop + solo, x)
     assert np.array_equal(S.band_stop(x, rate, 1_001, 1_002, size), x)
+
+
+def test_self_similarity_joins_nothing(spark, tmp_path):
+    """Each wave within its row: a broadcast of all columns is more than a driver holds. Ids that are there twice count as in the SQL's join."""
+    import duckdb
+
+    from vecstrand.queries import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(1,), (2,), (2,), (7,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["ssm_gram"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["ssm_gram"]).fetchall()
+    assert len(want) == 6 * 256 and sorted(tuple(r) for r in got.select("id", "a", "b", "cosine").collect()) == sorted(want)

@@ -27,7 +27,11 @@ def query(sql: str | None = None):
 
 def _waves(spark, d):
     """One wave a part: a sine of its own pitch."""
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (110.0 + F.col("p_partkey") % 400).alias("hz"))
+    return _wave(table(spark, d, "part"))
+
+
+def _wave(parts):
+    parts = parts.select(F.col("p_partkey").alias("id"), (110.0 + F.col("p_partkey") % 400).alias("hz"))
     return parts.withColumn("wave", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.round(F.sin(2 * 3.141592653589793 * F.col("hz") * i / 8000), 9)))
 
 
@@ -64,9 +68,14 @@ def ssm_pool(spark, d):
 
 @query(f"""WITH {_WAVES}, cols AS (SELECT id, c, wave[c * 16 + 1 : c * 16 + 16] AS v FROM waves, range(0, 16) t(c)) SELECT a.id, a.c AS a, b.c AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM cols a JOIN cols b ON a.id = b.id""")
 def ssm_gram(spark, d):
-    """Self-similarity of the sixteen columns of each wave."""
-    cols = _waves(spark, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("c"), "wave").select("id", F.col("c").cast("long").alias("c"), F.slice("wave", F.col("c") * 16 + 1, 16).alias("v"))
-    return G.self_similarity(cols, "id", "c", "v").withColumn("cosine", F.round("cosine", 5))
+    """Self-similarity of the sixteen columns of each wave. Waves of one id are equal, so n of them are n * n rows."""
+    parts = table(spark, d, "part").select("p_partkey")
+    # Ids are small and their waves are not: the number of partitions is given, else adaptive execution makes one of all.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-parts.count() // 20_000))
+    ids = parts.repartition(tasks, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("n"))
+    each = ids.select("p_partkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") * F.col("n"))))
+    columns = _wave(each).select("id", F.array(*[F.slice("wave", c * 16 + 1, 16) for c in range(16)]).alias("columns"))
+    return G.self_similarity(columns, "id", "columns").withColumn("cosine", F.round("cosine", 5))
 
 
 @query(f"""WITH {_WAVES}, s AS (SELECT id, wave, list_sort(wave) AS o FROM waves), l AS (SELECT id, wave, o[round_even(0.02 * 255, 0)::INT + 1] AS lo, o[round_even(0.98 * 255, 0)::INT + 1] AS hi FROM s)

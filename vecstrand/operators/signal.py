@@ -190,10 +190,13 @@ def key_of(chroma: str) -> Column:
     return F.array_max(F.array(*options))
 
 
-def self_similarity(frames_df: DataFrame, key: str, pos: str, vec: str) -> DataFrame:
-    """(key, a, b, cosine): within a row's pooled columns (at most 256 a key, so the join is bounded a key), shuffled on the key alone."""
-    from vecstrand.functions.vector import cosine
+def self_similarity(rows: DataFrame, key: str, columns: str) -> DataFrame:
+    """(key, a, b, cosine): each two of a row's pooled columns, an array of vectors; within the row, so nothing is joined, shuffled or broadcast."""
+    from vecstrand.functions.vector import dot, norm
 
-    a = frames_df.select(key, F.col(pos).alias("a"), F.col(vec).alias("va"))
-    b = frames_df.select(key, F.col(pos).alias("b"), F.col(vec).alias("vb"))
-    return a.join(b, key).select(key, "a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
+    def pair(x: Column, i: Column, y: Column, j: Column) -> Column:
+        like = F.coalesce(F.try_divide(dot(x["v"], y["v"]), x["n"] * y["n"]), F.when(F.size(x["v"]) == F.size(y["v"]), F.lit(0.0)))
+        return F.struct(i.cast("long").alias("a"), j.cast("long").alias("b"), like.alias("cosine"))
+
+    normed = rows.filter(F.col(key).isNotNull()).select(key, F.transform(columns, lambda x: F.struct(x.alias("v"), norm(x).alias("n"))).alias("_v"))
+    return normed.select(key, F.inline(F.flatten(F.transform("_v", lambda x, i: F.transform("_v", lambda y, j: pair(x, i, y, j))))))
