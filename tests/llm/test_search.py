@@ -394,3 +394,17 @@ def test_letters_refuse_no_titles_that_match():
     may = names.titles_may_match(nodes, left, right)
     found = np.array([names.title_match(nodes[i], nodes[j]) != "" for i, j in zip(left, right)])
     assert found.any() and not (found & ~may).any() and (~may).any()
+
+
+def test_who_asks_many_units_leaves_in_parts():
+    """20 million vectors lie in 512 units a table; a batch whose vectors ask all of them is 2,000 times its size, and must not be held at once."""
+    x = clusters(300, 64)
+    codes = neighbours.Codes(x / np.linalg.norm(x, axis=1, keepdims=True).astype(np.float32), 20_000_000)
+    codes.lay({g: 1_000 for g in range(codes.m << codes.p)})
+    e = np.zeros(300, neighbours._entry(64, codes.m))
+    e["z"], e["v"], e["need"] = np.arange(300), codes.values(x.astype(np.float32)), codes.m * (codes.s + 1)
+    home = [codes.first[t, codes.groups(e["v"])[:, t]] for t in range(codes.m)]
+    parts = list(neighbours._asking(e, codes, home, codes.m))
+    assert max(len(w) for _, w in parts) * e.itemsize <= neighbours.PACK + e.nbytes < len(e) * codes.units * e.itemsize
+    asked = np.concatenate([u * 300 + w for u, w in parts])
+    assert len(np.unique(asked)) == len(asked) == 300 * (codes.units - codes.m)
