@@ -77,3 +77,24 @@ def test_euclidean_centrality_is_of_all_rows(spark, tmp_path):
     small = {r[0]: r[1] for r in R.euclidean_centrality(ids.limit(900), 100).collect()}
     want = (1 / (1 + np.sqrt(((u[:900, None] - u[None, :900]) ** 2).sum(axis=2)))).mean(axis=1)
     assert [small[f"{i:04d}"] for i in range(900)] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_euclidean_centrality_shuffles_few_copies(spark):
+    """However many blocks its rows would make; rows of one vector and scale travel once."""
+    import numpy as np
+
+    x = np.random.default_rng(12).integers(-127, 128, (2_000, 64)).astype(np.int8)
+    x[1_000:] = x[:1_000]
+    rows = spark.createDataFrame([(f"{i:04d}", bytearray(v.tobytes()), 0.01) for i, v in enumerate(x)], "track_id string, embedding binary, scale float")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    got = {r[0]: r[1] for r in R.euclidean_centrality(rows, 20).collect()}
+    assert written() - before < 12 * x.nbytes
+    u = x * np.float64(np.float32(0.01))
+    want = [(1 / (1 + np.sqrt(((u - u[i]) ** 2).sum(axis=1)))).mean() for i in (3, 1_700)]
+    assert [got["0003"], got["1700"]] == pytest.approx(want, abs=1e-9) and len(got) == 2_000

@@ -5,6 +5,7 @@ A seed is one row: it is broadcast, the corpus is scanned once, and only a top-k
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecstrand.functions import vector as V
-from vecstrand.operators.blocks import in_pairs, units
 from vecstrand.plans.durable import Scratch
 
 FEEL = 8
@@ -66,46 +66,85 @@ def centrality(m: DataFrame, width: int = 64) -> DataFrame:
     return rows.crossJoin(F.broadcast(mean_vector(rows, F.col("unit"), width))).withColumn("centrality", V.dot(F.col("unit"), F.col("mean"))).drop("unit", "mean")
 
 
-#: Rows of a block of the euclidean centrality.
-BLOCK = 8_000
+#: Rows of a block of the euclidean centrality at least, and its blocks at most: each is a copy of the vectors in the shuffle.
+BLOCK, BLOCKS = 8_000, 6
 #: Rows by rows of a product that stays in a core's cache.
 _TILE = (128, 1_024)
 
 
 def euclidean_centrality(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """rows(track_id, embedding, scale) of equal width -> (track_id, centrality): mean euclidean similarity of the scaled vectors with all rows, itself
-    included. No identity shortens it: blocks meet in pairs, each pair once, and only sums leave a task."""
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    paired = in_pairs(rows.select("track_id", "embedding", "scale"), "track_id", F.lit(blocks)).select("unit", "a", "track_id", "embedding", "scale")
-    laid = paired.repartition(min(blocks * (blocks + 1) // 2, 2_000), "unit").sortWithinPartitions("unit")
+    included. No identity shortens it: each two different vectors meet once, in the pair of their blocks, and only sums leave a task. Vectors are
+    packed, and there are few blocks however many rows, so the shuffle stays a few times the vectors; a task holds two blocks as int8."""
+    same = rows.groupBy("embedding", "scale").agg(F.count("*").alias("times"))
+    index = Scratch(rows.sparkSession, "centrality").save(same.withColumn("z", F.monotonically_increasing_id()))
+    n, number = index.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
+    most = max(BLOCKS, math.isqrt(2 * rows.sparkSession.sparkContext.defaultParallelism))
+    blocks = min(max(1, -(-number // block)), most)
+
+    def kind(width: int) -> np.dtype:
+        return np.dtype([("z", "<i8"), ("times", "<i8"), ("scale", "<f4"), ("x", "i1", (width,))])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int8).reshape(b.num_rows, -1)
+            e = np.zeros(b.num_rows, kind(x.shape[1]))
+            e["z"], e["times"], e["scale"], e["x"] = *(b.column(i).to_numpy() for i in range(3)), x
+            at = ((e["z"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+            for a in np.unique(at).tolist():
+                raw = e[at == a].tobytes()
+                units = [min(a, other) * blocks + max(a, other) for other in range(blocks)]
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array([a] * blocks, pa.int32()), pa.array([x.shape[1]] * blocks, pa.int32()), pa.array([raw] * blocks, pa.binary())], ["unit", "a", "width", "entries"])
+
+    def summed(unit: int, sides: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        low, high = divmod(unit, blocks)
+        if low not in sides or high not in sides:
+            return
+        left, right = (np.concatenate(sides[side]) for side in (low, high))
+        totals = [np.zeros(len(left)), np.zeros(len(right))]
+
+        def scaled(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x = e["x"] * e["scale"].astype(np.float64)[:, None]
+            return x, (x * x).sum(axis=1)
+
+        for j in range(0, len(right), _TILE[1]):
+            there = right[j : j + _TILE[1]]
+            v, square = scaled(there)
+            for i in range(0, len(left), _TILE[0]):
+                here = left[i : i + _TILE[0]]
+                u, own = scaled(here)
+                both = own[:, None] + square
+                gaps = u @ v.T
+                gaps *= -2
+                gaps += both
+                # Vectors that are equal are at no distance; the difference would leave a trace of rounding.
+                gaps[gaps < 1e-14 * both] = 0
+                np.sqrt(gaps, out=gaps)
+                gaps += 1
+                np.reciprocal(gaps, out=gaps)
+                totals[0][i : i + _TILE[0]] += gaps @ there["times"]
+                if low != high:
+                    totals[1][j : j + _TILE[1]] += here["times"] @ gaps
+        for e, total in ((left, totals[0]), (right, totals[1]))[: 1 + (low != high)]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e["z"])), pa.array(total)], ["z", "total"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in units(batches, 1):
-            ids, a = table.column("track_id").to_pylist(), table.column("a").to_numpy()
-            x = np.frombuffer(b"".join(table.column("embedding").to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float64)
-            x *= table.column("scale").to_numpy().astype(np.float64)[:, None]
-            square = (x * x).sum(axis=1)
-            low, high = divmod(table.column("unit")[0].as_py(), blocks)
-            left, right = np.flatnonzero(a == low), np.flatnonzero(a == high)
-            total, u, v = np.zeros(len(ids)), x[left], x[right]
-            for i in range(0, len(left), _TILE[0]):
-                for j in range(0, len(right), _TILE[1]):
-                    both = square[left[i : i + _TILE[0]], None] + square[right[j : j + _TILE[1]]]
-                    gaps = u[i : i + _TILE[0]] @ v[j : j + _TILE[1]].T
-                    gaps *= -2
-                    gaps += both
-                    # Vectors that are equal are at no distance; the difference would leave a trace of rounding.
-                    gaps[gaps < 1e-14 * both] = 0
-                    np.sqrt(gaps, out=gaps)
-                    gaps += 1
-                    np.reciprocal(gaps, out=gaps)
-                    total[left[i : i + _TILE[0]]] += gaps.sum(axis=1)
-                    if low != high:
-                        total[right[j : j + _TILE[1]]] += gaps.sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(total)], ["track_id", "total"])
-
-    return laid.mapInArrow(sums, "track_id string, total double").groupBy("track_id").agg((F.sum("total") / n).alias("centrality"))
+        unit, sides = None, {}
+        for b in batches:
+            for u, a, width, raw in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+                if u != unit:
+                    yield from summed(unit, sides) if sides else ()
+                    unit, sides = u, {}
+                sides.setdefault(a, []).append(np.frombuffer(raw.as_buffer(), kind(width)))
+        yield from summed(unit, sides) if sides else ()
+
+    laid = index.select("z", "times", "scale", "embedding").mapInArrow(packed, "unit int, a int, width int, entries binary")
+    laid = laid.repartitionById(blocks * blocks, F.col("unit")).sortWithinPartitions("unit")
+    found = laid.mapInArrow(sums, "z long, total double").groupBy("z").agg((F.sum("total") / n).alias("centrality"))
+    known = index.join(found, "z").select("embedding", "scale", "centrality")
+    return rows.select("track_id", "embedding", "scale").join(known, ["embedding", "scale"]).select("track_id", "centrality")
 
 
 def feel_spread(m: DataFrame) -> DataFrame:
