@@ -408,3 +408,29 @@ def test_who_asks_many_units_leaves_in_parts():
     assert max(len(w) for _, w in parts) * e.itemsize <= neighbours.PACK + e.nbytes < len(e) * codes.units * e.itemsize
     asked = np.concatenate([u * 300 + w for u, w in parts])
     assert len(np.unique(asked)) == len(asked) == 300 * (codes.units - codes.m)
+
+
+def test_neighbours_on_disk_do_not_grow_with_the_units_asked(spark, monkeypatch, tmp_path):
+    """Isotropic vectors ask every unit of a table; no copy of who asks travels, and what a shuffle wrote goes with its table."""
+    from vecstrand.plans.durable import Scratch
+
+    x = np.random.default_rng(6).standard_normal((1_200, 16))
+    x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    ids = [f"t{i:04d}" for i in range(len(x))]
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    spent = []
+    for most in (65_536, 32):
+        monkeypatch.setattr(neighbours, "MAX_BUCKET", most)
+        scratch, before = Scratch(spark, "copies", tidy=True), written()
+        got = asked(spark, ids, x, scratch=scratch)
+        spent.append(written() - before)
+        assert len(got) == len(set(got)) == 5 * len(ids)
+        assert len(set(got) & brute(ids, x)) >= 0.95 * len(ids) * 5
+    # 16 units a table and more blocks: as copies of who asks, many times the shuffle.
+    assert spent[1] < 2 * spent[0]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
