@@ -98,3 +98,26 @@ def test_euclidean_centrality_shuffles_few_copies(spark):
     u = x * np.float64(np.float32(0.01))
     want = [(1 / (1 + np.sqrt(((u - u[i]) ** 2).sum(axis=1)))).mean() for i in (3, 1_700)]
     assert [got["0003"], got["1700"]] == pytest.approx(want, abs=1e-9) and len(got) == 2_000
+
+
+def test_euclidean_centrality_of_many_rows_in_single_precision(spark, monkeypatch):
+    """Near, equal and frequent vectors are taken in double; a squared distance of far ones in single keeps the mean."""
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    x = rng.integers(-100, 101, (5_000, 64)).astype(np.int8)
+    x[:1_500] = np.clip(x[0].astype(int) + rng.integers(-1, 2, (1_500, 64)), -127, 127)
+    x[1_500:1_600], x[4_000:] = x[1_600:1_700], x[3_999]
+    scale = np.float32(0.01) + np.float32(1e-6) * (np.arange(5_000) % 3).astype(np.float32)
+    rows = spark.createDataFrame([(f"{i:04d}", bytearray(v.tobytes()), float(s)) for i, (v, s) in enumerate(zip(x, scale))], "track_id string, embedding binary, scale float")
+    off = []
+    monkeypatch.setattr(R, "SINGLE", 1)
+    monkeypatch.setattr(R, "HEAVY", 0.05)
+    for block in (700, 8_000):
+        got = {r[0]: r[1] for r in R.euclidean_centrality(rows, block).collect()}
+        u = x * scale.astype(np.float64)[:, None]
+        some = [0, 7, 1_499, 1_550, 1_650, 2_500, 3_999, 4_500]
+        want = [(1 / (1 + np.sqrt(((u - u[i]) ** 2).sum(axis=1)))).mean() for i in some]
+        assert len(got) == 5_000
+        off.append(max(abs(got[f"{i:04d}"] - w) for i, w in zip(some, want)))
+    assert max(off) < 1e-8

@@ -70,17 +70,21 @@ def centrality(m: DataFrame, width: int = 64) -> DataFrame:
 BLOCK, BLOCKS = 8_000, 6
 #: Rows by rows of a product that stays in a core's cache.
 _TILE = (128, 1_024)
+#: From so many rows on, pairs are summed in single precision, whose rounding the mean over the rows takes below some 1e-10; the share of two squared
+#: norms below which a squared distance is taken again in double; the share of all rows above which a repeated row is.
+SINGLE, NEAR, HEAVY = 65_536, 1 / 16, 1e-4
 
 
 def euclidean_centrality(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """rows(track_id, embedding, scale) of equal width -> (track_id, centrality): mean euclidean similarity of the scaled vectors with all rows, itself
     included. No identity shortens it: each two different vectors meet once, in the pair of their blocks, and only sums leave a task. Vectors are
-    packed, and there are few blocks however many rows, so the shuffle stays a few times the vectors; a task holds two blocks as int8."""
+    packed, and there are few blocks however many rows, so the shuffle stays a few times the vectors; a task holds two blocks as int8. Many rows are
+    summed in single precision (SINGLE), except pairs that are near or heavy."""
     same = rows.groupBy("embedding", "scale").agg(F.count("*").alias("times"))
     index = Scratch(rows.sparkSession, "centrality").save(same.withColumn("z", F.monotonically_increasing_id()))
     n, number = index.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     most = max(BLOCKS, math.isqrt(2 * rows.sparkSession.sparkContext.defaultParallelism))
-    blocks = min(max(1, -(-number // block)), most)
+    blocks, single = min(max(1, -(-number // block)), most), number >= SINGLE
 
     def kind(width: int) -> np.dtype:
         return np.dtype([("z", "<i8"), ("times", "<i8"), ("scale", "<f4"), ("x", "i1", (width,))])
@@ -109,24 +113,50 @@ def euclidean_centrality(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             x = e["x"] * e["scale"].astype(np.float64)[:, None]
             return x, (x * x).sum(axis=1)
 
+        def similar(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+            (u, own), (v, square) = scaled(here), scaled(there)
+            both = own[:, None] + square
+            gaps = u @ v.T
+            gaps *= -2
+            gaps += both
+            # Vectors that are equal are at no distance; the difference would leave a trace of rounding.
+            gaps[gaps < 1e-14 * both] = 0
+            return gaps
+
+        def wide(e: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(low, 1, -2 u, high, 1) by (1, low, v, 1, high) is the squared distance, low and high the parts of the square; with the squares, and
+            whether they and the counts suit single precision. A square in one part would be off alike for all pairs of a row."""
+            out, squares = np.ones((len(e), e["x"].shape[1] + 4), np.float32), np.zeros(len(e))
+            for at in range(0, len(e), _TILE[1]):
+                x, squares[at : at + _TILE[1]] = scaled(e[at : at + _TILE[1]])
+                out[at : at + _TILE[1], 2:-2] = -2 * x if first else x
+            out[:, -2 if first else -1] = squares
+            out[:, 0 if first else 1] = squares - out[:, -2 if first else -1]
+            return out, squares, single & (e["times"] <= HEAVY * n) & (squares > 1e-12) & (squares < 1e12)
+
+        lefts, rights = (wide(left, True), wide(right, False)) if single else (None, None)
         for j in range(0, len(right), _TILE[1]):
-            there = right[j : j + _TILE[1]]
-            v, square = scaled(there)
-            for i in range(0, len(left), _TILE[0]):
-                here = left[i : i + _TILE[0]]
-                u, own = scaled(here)
-                both = own[:, None] + square
-                gaps = u @ v.T
-                gaps *= -2
-                gaps += both
-                # Vectors that are equal are at no distance; the difference would leave a trace of rounding.
-                gaps[gaps < 1e-14 * both] = 0
+            there = right[(to := slice(j, j + _TILE[1]))]
+            # Two tiles of one block meet once; where they overlap, each row meets all others of it.
+            for i in range(0, len(left) if low != high else min(len(left), j + _TILE[1]), _TILE[0]):
+                here, close = left[(at := slice(i, i + _TILE[0]))], None
+                if single and lefts[2][at].all() and rights[2][to].all():
+                    gaps = lefts[0][at] @ rights[0][to].T
+                    close = np.flatnonzero(gaps < np.float32(NEAR * (lefts[1][at].max() + rights[1][to].max())))
+                if close is None or 8 * len(close) > gaps.size:
+                    gaps = similar(here, there)
+                elif len(close):
+                    p, q = np.divmod(close, gaps.shape[1])
+                    gaps[p, q] = ((scaled(here[p])[0] - scaled(there[q])[0]) ** 2).sum(axis=1)
                 np.sqrt(gaps, out=gaps)
                 gaps += 1
                 np.reciprocal(gaps, out=gaps)
-                totals[0][i : i + _TILE[0]] += gaps @ there["times"]
-                if low != high:
-                    totals[1][j : j + _TILE[1]] += here["times"] @ gaps
+                # Sums of what is left of a common value round less.
+                common = gaps.dtype.type(gaps[0].mean())
+                gaps -= common
+                totals[0][at] += gaps @ there["times"].astype(gaps.dtype) + float(common) * there["times"].sum()
+                if low != high or i < j:
+                    totals[low != high][to] += here["times"].astype(gaps.dtype) @ gaps + float(common) * here["times"].sum()
         for e, total in ((left, totals[0]), (right, totals[1]))[: 1 + (low != high)]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e["z"])), pa.array(total)], ["z", "total"])
 
